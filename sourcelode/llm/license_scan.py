@@ -74,17 +74,21 @@ def phrase_starts(words: list[str], phrase: list[str]) -> list[int]:
 def base_places(words: Column, n: Column) -> Column:
     """array<struct<start, label>>: where the phrases stand; all of them end with the same word."""
     last = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, i) == "license")
-    found = []
-    for label, phrase in BASE.items():
+
+    def places(label: str, phrase: tuple[str, ...]) -> Column:
         k = len(phrase) - 1
 
-        def stands(i, phrase=phrase, k=k):
+        def stands(i):
             out = i >= k
             for j, w in enumerate(phrase[:-1]):
                 out = out & F.coalesce(F.get(words, i - (k - j)) == w, F.lit(False))
             return out
 
-        found.append(F.transform(F.filter(last, stands), lambda i, k=k, label=label: F.struct((i - k).cast("long").alias("start"), F.lit(label).alias("label"))))
+        return F.transform(
+            F.filter(last, stands), lambda i: F.struct((i - k).cast("long").alias("start"), F.lit(label).alias("label"))
+        )
+
+    found = [places(label, phrase) for label, phrase in BASE.items()]
     return F.when(F.array_contains(words, "license"), F.concat(*found))
 
 
@@ -92,12 +96,14 @@ def template_score(words: Column, hits: Column, looked: Column, template, df) ->
     """The best share of the template's words that a verified candidate start has; null if there is none."""
     _, text, phrases = template
     own = text.split()
-    starts = {}
-    for w in rare_words(text, df):
+
+    def starts_by(w: str) -> Column:
         at = [i for i, x in enumerate(own) if x == w]
-        hit = F.filter(hits, lambda h, w=w: h["w"] == w)
-        per = F.flatten(F.transform(hit, lambda h, at=at: F.array(*[h["i"] - p for p in at])))
-        starts[w] = F.when(F.array_contains(looked, w), per).otherwise(F.array().cast("array<int>"))
+        hit = F.filter(hits, lambda h: h["w"] == w)
+        per = F.flatten(F.transform(hit, lambda h: F.array(*[h["i"] - p for p in at])))
+        return F.when(F.array_contains(looked, w), per).otherwise(F.array().cast("array<int>"))
+
+    starts = {w: starts_by(w) for w in rare_words(text, df)}
     agreed = F.array_distinct(F.concat(*[F.array_intersect(starts[a], starts[b]) for a, b in combinations(starts, 2)]))
     must = sorted({i + j for p in phrases for i in phrase_starts(own, p.split())[:1] for j in range(len(p.split()))})
 
