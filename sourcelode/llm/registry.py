@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, sharding
+import corpus_pipeline
+
+from . import (
+    bpe,
+    exact_dedup,
+    language_id,
+    license_scan,
+    media_columns,
+    packing,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+)
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
+    "op2_language_id": language_id.query,
+    "op3_simhash": simhash.query,
+    "op4_bpe": bpe.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op6_token_counts": token_counts.query,
+    "op7_packing": packing.query,
     "op8_sharding": sharding.query,
+    "op9_media_columns": media_columns.query,
+    "op10_toxicity": toxicity.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op5_exact_dedup": exact_dedup.ORACLE}
