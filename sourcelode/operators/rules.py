@@ -174,9 +174,10 @@ def contextualized(findings: DataFrame, roles: DataFrame, sizes: DataFrame, file
     rows = rows.withColumn("role", strongest_role(own, F.coalesce("_roles", F.array().cast("array<string>"))))
     first = F.get("evidence", F.lit(0))
     rows = rows.withColumn("_line", F.when(F.col("rule_id") == "oversized-function", F.col("line"))).withColumn("_column", F.when(F.col("rule_id") == "oversized-function", first["column"]))
-    s = sizes.select("rule_id", "file", F.col("line").alias("_line"), F.col("column").alias("_column"), "lines")
-    same = [rows["rule_id"] == s["rule_id"], rows["file"] == s["file"], rows["_line"].eqNullSafe(s["_line"]), rows["_column"].eqNullSafe(s["_column"])]
-    rows = rows.join(s, same, "left").select(rows["*"], s["lines"])
+    s = sizes.select(F.col("rule_id").alias("_r"), F.col("file").alias("_f"), F.col("line").alias("_l"), F.col("column").alias("_c"), "lines")
+    same = (F.col("rule_id") == F.col("_r")) & (F.col("file") == F.col("_f"))
+    same = same & F.col("_line").eqNullSafe(F.col("_l")) & F.col("_column").eqNullSafe(F.col("_c"))
+    rows = rows.join(s, same, "left")
     limit = F.when(F.col("rule_id") == "oversized-file", file_lines).otherwise(function_lines)
     sized = size_context(rows.withColumnRenamed("severity", "_severity"), limit)
     is_size, is_dup = F.col("category") == "size", (F.col("rule_id") == "duplicate-block") & (F.col("role") == "test")
