@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -157,6 +157,12 @@ def signed(word: int) -> int:
     return word - (1 << BITS) if word >= 1 << (BITS - 1) else word
 
 
+def keys_of(no: int, own: Column, flips: list[int]) -> Column:
+    """A constant array of masks, however many, and one expression over it."""
+    masks = F.array(*[F.lit(signed(f)) for f in flips])
+    return F.transform(masks, lambda m: F.struct(F.lit(no).alias("part"), own.bitwiseXOR(m).alias("key")))
+
+
 def links(unique: DataFrame, partitions: list[tuple[list[int], int]], distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
     """(u, v) of fingerprints: their components are those of all pairs within the distance."""
     if distance != 2:
@@ -168,10 +174,10 @@ def links(unique: DataFrame, partitions: list[tuple[list[int], int]], distance:
         flips = [0]
         for _ in range(t):
             flips = sorted({f ^ (1 << b) for f in flips for b in bits} | set(flips))
-        index_keys.append(F.struct(F.lit(no).alias("part"), own.alias("key")))
-        probe_keys += [F.struct(F.lit(no).alias("part"), own.bitwiseXOR(F.lit(signed(f))).alias("key")) for f in flips]
-    index = unique.select(fp.alias("b"), F.inline(F.array(*index_keys)))
-    probes = unique.select(fp.alias("a"), F.inline(F.array(*probe_keys)))
+        index_keys.append(keys_of(no, own, [0]))
+        probe_keys.append(keys_of(no, own, flips))
+    index = unique.select(fp.alias("b"), F.inline(F.concat(*index_keys)))
+    probes = unique.select(fp.alias("a"), F.inline(F.concat(*probe_keys)))
     large = written(index.groupBy("part", "key").count().filter(F.col("count") > bucket).select("part", "key"), "large")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     small = (
