@@ -410,7 +410,7 @@ def shortest_cycle_length(spark, d):
 
 # --- packages ----------------------------------------------------------------------------------------------
 
-PACKAGES = """used AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01'),
+PACKAGES = """used AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-10-20'),
  s AS (SELECT s_suppkey, s_name AS name, CASE WHEN s_acctbal < 0 THEN 'peerDependencies' ELSE 'dependencies' END AS section FROM supplier)"""
 STATE = "CASE WHEN k IS NOT NULL THEN 'used' WHEN section = 'peerDependencies' THEN 'indirect' ELSE 'candidate' END"
 
@@ -418,7 +418,7 @@ STATE = "CASE WHEN k IS NOT NULL THEN 'used' WHEN section = 'peerDependencies' T
 def package_states(spark, d) -> DataFrame:
     section = F.when(F.col("s_acctbal") < 0, "peerDependencies").otherwise("dependencies")
     declared = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.lit("package.json").alias("manifest"), F.array(section).alias("sections"), "s_suppkey")
-    used = table(spark, d, "lineitem").filter(F.col("l_shipdate") >= F.expr("timestamp_ntz'1998-06-01 00:00:00'")).select(F.col("l_suppkey").alias("s_suppkey")).distinct()
+    used = table(spark, d, "lineitem").filter(F.col("l_shipdate") >= F.expr("timestamp_ntz'2001-10-20 00:00:00'")).select(F.col("l_suppkey").alias("s_suppkey")).distinct()
     evidence = used.join(declared, "s_suppkey").select("name", "manifest", F.lit("runtime").alias("kind"))
     return rules.package_usage(declared.drop("s_suppkey"), evidence, False)
 
@@ -597,3 +597,52 @@ def acquisition_coverage(spark, d):
 def uncertainty(spark, d):
     resolution = F.when((F.col("event_type") == "error") & (F.col("value") > 100), "unresolved").otherwise("internal")
     return filters.is_uncertain(table(spark, d, "events").select(resolution.alias("resolution")))
+
+
+@query()
+def dependency_budget(spark, d):
+    """A fold: what would overflow its source's budget is left out, and later, smaller texts may still fit."""
+    files = table(spark, d, "documents").select("source", "doc_id", F.octet_length("text").alias("bytes"))
+    return budgets.skipping_budget(files, "source", "bytes", ["doc_id"], 20_000)
+
+
+# --- parsing: sources are written from the tables, parsed, and held against the tables ----------------------
+
+
+def parsed_sources(files: DataFrame) -> DataFrame:
+    from ..model import Configuration
+    from .scan import parse_files
+
+    return parse_files(files.select(F.lit("tables").alias("repo_id"), "path", "content"), Configuration().limits)
+
+
+@query(f"WITH {HREFS} SELECT 'page' || page_id || '.ts' AS file, pos + 1 AS line, '.' || href AS specifier, 'runtime' AS kind FROM e")
+def parsed_references(spark, d):
+    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    text = F.array_join(F.transform(links, lambda x: F.concat(F.lit("import '."), x, F.lit("';"))), "\n")
+    pages = table(spark, d, "pages").select(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".ts")).alias("path"), text.alias("content"))
+    edges = parsed_sources(pages).select(F.inline("dependencies"))
+    return edges.select(F.col("from_file").alias("file"), "line", "specifier", "kind")
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, role, {LINES} AS lines FROM conversations)
+ SELECT 'c' || conv_id || '_' || turn || '.ts' AS file, role || turn AS name, lines + 2 AS lines FROM t""")
+def parsed_functions(spark, d):
+    turns = table(spark, d, "conversations")
+    name = F.concat("role", F.col("turn").cast("string"))
+    body = F.repeat(F.lit("  step();\n"), fn.line_count(F.col("text")))
+    path = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"), F.lit(".ts"))
+    source = F.concat(F.lit("function "), name, F.lit("() {\n"), body, F.lit("}\n"))
+    found = parsed_sources(turns.select(path.alias("path"), source.alias("content"))).select(F.inline("functions"))
+    return found.select("file", "name", "lines")
+
+
+@query(f"""WITH {HREFS}, p AS (SELECT page_id, pos, regexp_replace(substr(href, 2), '[^A-Za-z]', '', 'g') AS t FROM e)
+ SELECT page_id, pos, '["lib/' || t || '.ts", "lib/' || t || '.tsx"]' AS first_two, 'lib/' || t AS resolved FROM p""")
+def candidate_sources(spark, d):
+    name = F.regexp_replace(F.substr("href", F.lit(2)), "[^A-Za-z]", "")
+    links = page_links(spark, d).withColumn("t", name)
+    path = fn.resolved_path(F.lit("src/deep/page.ts"), F.concat(F.lit("../../lib/./"), "t", F.lit(".js")))
+    first = F.slice(fn.candidate_paths(path), F.lit(1), F.lit(2))
+    shown = F.concat(F.lit('["'), F.array_join(first, '", "'), F.lit('"]'))
+    return links.select("page_id", "pos", shown.alias("first_two"), F.regexp_replace(path, r"\.js$", "").alias("resolved"))

@@ -27,10 +27,14 @@ def is_inside(root: str, path: str) -> bool:
 class Rule:
     regex: re.Pattern
     negated: bool
+    only_directories: bool
+
+    def matches(self, path: str, is_dir: bool) -> bool:
+        return bool(self.regex.match(f"{path}/" if is_dir and self.only_directories else path))
 
 
 def ignore_rules(source: str) -> list[Rule]:
-    """Lines of an ignore file, in order, as patterns of paths relative to its directory ('/' behind directories)."""
+    """Lines of an ignore file, in order, as patterns of paths relative to its directory."""
     out = []
     for line in re.split(r"\r?\n", source):
         line = re.sub(r"(?<!\\)[ \t]+$", "", line)
@@ -45,7 +49,7 @@ def ignore_rules(source: str) -> list[Rule]:
         body = body.lstrip("/")
         if not body:
             continue
-        out.append(Rule(re.compile(("" if anchored else "(?:.*/)?") + _ignore_regex(body) + ("/.*" if only_dir else "(?:/.*)?") + r"\Z", re.DOTALL), negated))
+        out.append(Rule(re.compile(("" if anchored else "(?:.*/)?") + _ignore_regex(body) + ("/.*" if only_dir else "(?:/.*)?") + r"\Z", re.DOTALL), negated, only_dir))
     return out
 
 
@@ -232,9 +236,9 @@ def discover(root: str, config: Configuration, budget: Budget | None = None, dea
 def _is_ignored(path: str, is_dir: bool, layers: list[tuple[str, list[Rule]]]) -> bool:
     ignored = False
     for directory, rules in layers:
-        local = (path[len(directory) + 1 :] if directory else path) + ("/" if is_dir else "")
+        local = path[len(directory) + 1 :] if directory else path
         for rule in rules:
-            if rule.regex.match(local):
+            if rule.matches(local, is_dir):
                 ignored = not rule.negated
     return ignored
 
