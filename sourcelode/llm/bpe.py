@@ -32,11 +32,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import shuffle_width, table
 
-VOCABULARY, BLOCK, CACHE = "word_bpe_49k.json", 8 << 20, 300_000
+VOCABULARY, BLOCK, CACHE = "word_bpe_49k.json", 8 << 20, 500_000
 
 #: Unicode's White_Space. Arrow's splitter also takes U+001C to U+001F, which the tokenizer does not.
-SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 ODD = "[\\x1c-\\x1f]"
+#: Fixed value: the tokenizer's pattern. Words of these characters are normalised by lower case alone.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = re.compile("[\x00-\u012f\u0131-\u024f]*\\Z")
+
+
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
 def vocabulary_json(name: str) -> str:
@@ -102,19 +112,67 @@ def encode_words(tok, words: list[str]) -> list[list[int]]:
 
 
 class WordTable:
-    """Ids of words met so far; forgotten altogether at CACHE words."""
+    """Ids of words. A word is cut into pre-tokens, and each pre-token met is merged once by the library's model;
+    they are kept for the process and forgotten altogether at CACHE pre-tokens. Words with characters beyond
+    plain Latin, whose normalisation is more than lower case, go through the whole tokenizer."""
 
     def __init__(self, tok):
         self.tok, self.ids = tok, {}
-
-    def look_up(self, words: list[str]) -> pa.ListArray:
-        missing = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(missing) > CACHE:
-            self.ids, missing = {}, words
-        for k in range(0, len(missing), 20_000):
-            part = missing[k : k + 20_000]
-            self.ids.update(zip(part, (np.array(i, np.int32) for i in encode_words(self.tok, part)), strict=True))
-        return ragged([self.ids[w] for w in words])
+        import regex
+
+        self.cut = regex.compile(PATTERN).findall
+        self.bytes = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
+        self.specials = [t.content for t in tok.get_added_tokens_decoder().values()]
+
+    def merge(self, pretoken: str) -> bytes:
+        symbols = pretoken.encode("utf-8").decode("latin-1").translate(self.bytes)
+        return np.array([t.id for t in self.tok.model.tokenize(symbols)], "<i4").tobytes()
+
+    def pretokens(self, word: str) -> list[str] | None:
+        """Of a word of plain Latin; None for others."""
+        if word.isascii():
+            if word.isalpha():
+                return [word.lower()]
+            if word[:-1].isalpha():
+                low = word.lower()
+                return [low[:-1], low[-1]]
+            if any(s in word for s in self.specials):
+                return None
+        elif not PLAIN.match(word):
+            return None
+        return self.cut(word.lower())
+
+    def look_up(self, words: list[str]) -> pa.LargeListArray:
+        if len(self.ids) > CACHE:
+            self.ids = {}
+        known, merge, out, odd = self.ids, self.merge, [], []
+        for word in words:
+            own = self.pretokens(word)
+            if own is None:
+                odd.append(len(out))
+                out.append(b"")
+                continue
+            found = b""
+            for p in own:
+                one = known.get(p)
+                if one is None:
+                    one = known[p] = merge(p)
+                found += one
+            out.append(found)
+        for k in range(0, len(odd), 10_000):
+            part = odd[k : k + 10_000]
+            for i, e in zip(part, self.tok.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, "<i4").tobytes()
+        offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, out), np.int64, len(out)) // 4)))
+        return pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "<i4")))
+
+
+def word_table(model: str) -> WordTable:
+    """One for the process: workers that run several tasks merge a pre-token once."""
+    key = ("words", hash(model))
+    if key not in _loaded:
+        _loaded[key] = WordTable(tokenizer(model))
+    return _loaded[key]
 
 
 def ragged(rows: list[np.ndarray]) -> pa.ListArray:

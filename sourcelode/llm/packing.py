@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import VOCABULARY, WordTable, blocks, local_ids, tokenizer, vocabulary_json
+from .bpe import VOCABULARY, blocks, local_ids, vocabulary_json, word_table
 from .common import table, written
 
 CAPACITY, END, LANES = 2048, 0, 1024
@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     model = docs.sparkSession.sparkContext.broadcast(vocabulary_json(vocabulary))  # a file of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTable(tokenizer(model.value))
+        words = word_table(model.value)
         end = np.array([END], np.uint32).tobytes()
         for batch in batches:
             for part in blocks(batch, 1):

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import ODD, blocks, vocabulary_json
+from .bpe import ODD, blocks, byte_symbols, vocabulary_json
 from .common import table
 
 VOCABULARY, LIMIT, CACHE, AT_ONCE = "byte_bpe_50k.json", 1024, 300_000, 100_000
@@ -32,13 +32,6 @@ NONE = np.int32(2**31 - 1)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
-
-
 class Merger:
     def __init__(self, model: str):
         import regex
