@@ -5,8 +5,10 @@ its pattern reaches across it, so a word's ids don't depend on its neighbours (a
 pre-tokens, or special tokens, which have no white space either).
 
 1. Texts are dealt with in blocks of about BLOCK bytes. A block is split into words and its words are
-   numbered: a row of word numbers in order of position, and one request for each distinct word.
-2. Requests are exchanged by word and sorted: the table of distinct words. Each word is encoded once.
+   numbered: a row of word numbers in order of position, and a request for each distinct word.
+2. Requests are exchanged by a hash of the word, those of a block and bucket packed in one row: the table of
+   distinct words. Each word is encoded once (while a task's words are fewer than CACHE: buckets are as many
+   as the session's shuffle partitions).
 3. Ids go back to their block (an equi-join on the block's digest) and by word number to each position.
 4. Decoding joins ids to the pieces of the vocabulary by id and puts the pieces together.
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import shuffle_width, table
 
-VOCABULARY, BLOCK, CACHE = "word_bpe_49k.json", 8 << 20, 500_000
+VOCABULARY, BLOCK, CACHE = "word_bpe_49k.json", 16 << 20, 500_000
 
 #: Unicode's White_Space. Arrow's splitter also takes U+001C to U+001F, which the tokenizer does not.
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -107,10 +110,6 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return offsets, np.asarray(coded.indices), coded.dictionary
 
 
-def encode_words(tok, words: list[str]) -> list[list[int]]:
-    return [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
-
-
 class WordTable:
     """Ids of words. A word is cut into pre-tokens, and each pre-token met is merged once by the library's model;
     they are kept for the process and forgotten altogether at CACHE pre-tokens. Words with characters beyond
@@ -202,63 +201,80 @@ def spaced(offsets: np.ndarray, strings: pa.Array) -> pa.Array:
     return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), strings), pa.scalar(" ", strings.type))
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers, byte planes apart (high bytes are mostly zero), compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
 def _key(distinct: pa.Array) -> bytes:
-    h = hashlib.blake2b(digest_size=16)
-    h.update(np.diff(np.asarray(pc.binary_length(distinct)), prepend=0).tobytes())
-    h.update("".join(distinct.to_pylist()).encode("utf-8", "surrogatepass"))
-    return h.digest()
+    return hashlib.blake2b("\n".join(distinct.to_pylist()).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         for part in blocks(batch, 1):
             offsets, numbers, distinct = split_words(part.column(1))
             arrays = [
                 pa.array([_key(distinct)], pa.binary()), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
-                pa.array([pack(offsets.astype(np.int64).tobytes())], pa.binary()), pa.array([pack(numbers.astype(np.int32).tobytes())], pa.binary()),
+                pa.array([_pack(np.diff(offsets))], pa.binary()), pa.array([_pack(numbers)], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["block", "doc_ids", "offsets", "numbers"])
-
-
-def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in blocks(batch, 1):
-            _, _, distinct = split_words(part.column(1))
-            key, n = _key(distinct), len(distinct)
-            for at in range(0, n, 50_000):
-                own = distinct.slice(at, 50_000)
-                arrays = [pa.array([key] * len(own), pa.binary()), pa.array(range(at, at + len(own)), pa.int32()), own.cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["block", "number", "word"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["block", "doc_ids", "lengths", "numbers"])
 
 
 def positions(docs: DataFrame) -> DataFrame:
     own = docs.select(docs["doc_id"].cast("long"), "text")
-    return own.mapInArrow(_positions, "block BINARY, doc_ids ARRAY<BIGINT>, offsets BINARY, numbers BINARY")
+    return own.mapInArrow(_positions, "block BINARY, doc_ids ARRAY<BIGINT>, lengths BINARY, numbers BINARY")
+
+
+def requests(docs: DataFrame, buckets: int) -> DataFrame:
+    """Each block's distinct words, those of a bucket (by a hash of the word) in one row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for part in blocks(batch, 1):
+                distinct = split_words(part.column(1))[2]
+                words, key, rows = distinct.to_pylist(), _key(distinct), []
+                of = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in words), np.int64, len(words))
+                order = np.argsort(of, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else []:
+                    text = "\n".join([words[i] for i in own.tolist()])
+                    rows.append((int(of[own[0]]), key, _pack(own), squeeze(text.encode("utf-8", "surrogatepass"))))
+                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                columns = list(zip(*rows, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "block", "numbers", "words"])
 
-def requests(docs: DataFrame) -> DataFrame:
     own = docs.select(docs["doc_id"].cast("long"), "text")
-    return own.mapInArrow(_requests, "block BINARY, number INT, word STRING")
+    return own.mapInArrow(run, "bucket INT, block BINARY, numbers BINARY, words BINARY")
 
 
-def encoded(requested: DataFrame, model) -> DataFrame:
-    """Requests with their words' ids, each word encoded once: equal words are neighbours."""
+def encoded(requested: DataFrame, buckets: int, model) -> DataFrame:
+    """The table of distinct words: all requests for a word meet in one task, which encodes it once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, last = tokenizer(model.value), (None, None)
+        table_, unpack = word_table(model.value), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            coded = batch.column(2).dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            known = {last[0]: last[1]} if last[0] is not None else {}
-            new = [w for w in words if w not in known]
-            known.update(zip(new, (np.array(i, np.int32) for i in encode_words(tok, new)), strict=True))
-            ids = ragged([known[w] for w in words]).take(coded.indices)
-            last = (words[-1], known[words[-1]]) if words else last
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids.cast(pa.list_(pa.int32()))], names=["block", "number", "ids"])
+            for at in range(batch.num_rows):
+                words = unpack(batch.column(3)[at].as_py()).decode("utf-8", "surrogatepass").split("\n")
+                ids = table_.look_up(words)
+                arrays = [batch.column(1).slice(at, 1), batch.column(2).slice(at, 1), pa.array([_pack(np.diff(np.asarray(ids.offsets)))], pa.binary()), pa.array([_pack(np.asarray(ids.values))], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["block", "numbers", "lengths", "ids"])
+
+    return requested.repartition(buckets, "bucket").mapInArrow(run, "block BINARY, numbers BINARY, lengths BINARY, ids BINARY")
+
 
-    dealt = requested.repartition(shuffle_width(requested.sparkSession), "word").sortWithinPartitions("word")
-    return dealt.mapInArrow(run, "block BINARY, number INT, ids ARRAY<INT>")
+def word_ids(answers: list[dict]) -> tuple[np.ndarray, pa.LargeListArray]:
+    """(numbers, ids of each) of a block's answers."""
+    numbers = [_unpack(a["numbers"]) for a in answers]
+    lengths, ids = [_unpack(a["lengths"]) for a in answers], [_unpack(a["ids"]) for a in answers]
+    flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int32)
+    offsets = np.concatenate(([0], np.cumsum(flat(lengths), dtype=np.int64)))
+    return flat(numbers), pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(flat(ids), pa.int32()))
 
 
 def encode_table(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -271,12 +287,11 @@ def encode_table(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             vocabulary = pieces_of(tok)
             _loaded["pieces"] = vocabulary, pa.array(map(str, range(len(vocabulary))), pa.large_string())
         pieces, decimals = _loaded["pieces"]
-        numbers = answers.column("number").to_numpy()
-        order = np.unique(numbers, return_index=True)[1]
-        ids = answers.column("ids").combine_chunks().take(pa.array(order)).cast(pa.large_list(pa.int32()))
-        unpack, out = zstandard.ZstdDecompressor().decompress, []
+        numbers, ids = word_ids(answers.select(["numbers", "lengths", "ids"]).to_pylist())
+        order = np.unique(numbers, return_index=True)[1]  # blocks of the same words ask alike
+        ids, out = ids.take(pa.array(order)), []
         for row in rows.to_pylist():
-            offsets, at = np.frombuffer(unpack(row["offsets"]), np.int64), np.frombuffer(unpack(row["numbers"]), np.int32)
+            offsets, at = np.concatenate(([0], np.cumsum(_unpack(row["lengths"]), dtype=np.int64))), _unpack(row["numbers"])
             if len(at) and int(at.max()) >= len(order):
                 raise RuntimeError("a block's requests are missing: its input was not read alike twice")
             first, flat = joined(offsets, at, ids)
@@ -288,7 +303,8 @@ def encode_table(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 out.append(pa.table({"doc_id": pa.array(row["doc_ids"][a : a + 500], pa.int64()), "n_tokens": np.diff(own).astype(np.int64), "ids_sha256": sha256(digits), "decoded_sha256": sha256(text)}))
         return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "ids_sha256": pa.array([], pa.string()), "decoded_sha256": pa.array([], pa.string())})
 
-    answers = encoded(requests(docs), model)
+    buckets = shuffle_width(docs.sparkSession)
+    answers = encoded(requests(docs, buckets), buckets, model)
     return positions(docs).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         join, "doc_id BIGINT, n_tokens BIGINT, ids_sha256 STRING, decoded_sha256 STRING"
     )
