@@ -7,8 +7,8 @@ has the language of the prototype with the greatest cosine.
 
 Bundling is linear in n-gram counts, so texts are counted first (dense over the n-grams that a block of
 texts has) and bound vectors are made once for each n-gram of the block. Prototypes come from all training
-rows: n-gram counts are summed within tasks and then by Spark, so what reaches the driver is a table of
-(language, n-gram) shares: at most N_GRAMS rows a language, whatever the input.
+rows: n-gram counts are summed within tasks and then by Spark, bound and summed again, and DIMENSION numbers
+a language reach the driver, whatever the input.
 
 Letters: a-z of the lower-cased text, and every other letter by its code point modulo OTHERS; anything
 else is a gap, and runs of gaps are one.
@@ -126,15 +126,30 @@ def shares(training: DataFrame) -> DataFrame:
     return each.groupBy("lang", "code").agg(F.sum("share").alias("share"))
 
 
+def projected(summed: DataFrame) -> DataFrame:
+    """lang, code, share -> lang, dim, value: shares times bound vectors, summed within tasks and then by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs, codes, share = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for lang in set(langs):
+                own = np.flatnonzero(langs == lang)
+                for at in range(0, len(own), 8192):
+                    part = own[at : at + 8192]
+                    sums[lang] = sums.get(lang, 0) + share[part] @ bound(codes[part])
+        for lang, s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSION, pa.string()), pa.array(np.arange(DIMENSION)), pa.array(s)], names=["lang", "dim", "value"])
+
+    return summed.mapInArrow(run, "lang STRING, dim BIGINT, value DOUBLE").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
+
+
 def prototypes(training: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages by name, and their vectors of length 1 (float32)."""
-    rows = shares(training.filter(F.col("lang").isNotNull())).toPandas()
+    """Languages by name, and their vectors of length 1 (float32): DIMENSION rows a language reach the driver."""
+    rows = projected(shares(training.filter(F.col("lang").isNotNull()))).toPandas()
     langs = sorted(rows["lang"].unique().tolist())
     out = np.zeros((len(langs), DIMENSION))
-    for k, lang in enumerate(langs):
-        own = rows[rows["lang"] == lang].sort_values("code")
-        for at in range(0, len(own), 8192):
-            out[k] += own["share"].to_numpy()[at : at + 8192] @ bound(own["code"].to_numpy()[at : at + 8192])
+    out[rows["lang"].map(langs.index).to_numpy(np.int64), rows["dim"].to_numpy(np.int64)] = rows["value"].to_numpy()
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return langs, (out / np.maximum(norm, 1e-12)).astype(np.float32)
 
@@ -181,11 +196,14 @@ def identify(docs: DataFrame, training: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "doc_id BIGINT, lang_pred STRING, score DOUBLE")
 
 
+def _held_out(rows: DataFrame) -> Column:
+    return F.coalesce(remainder(rows["doc_id"], 4) == 2, F.lit(False))
+
+
 def label(docs: DataFrame) -> DataFrame:
     """Learns from the rows that aren't held out and predicts all."""
-    held_out = lambda d: F.coalesce(remainder(d["doc_id"], 4) == 2, F.lit(False))
-    out = identify(docs, docs.filter(~held_out(docs)))
-    return out.select("doc_id", held_out(out).alias("held_out"), "lang_pred", "score")
+    out = identify(docs, docs.filter(~_held_out(docs)))
+    return out.select("doc_id", _held_out(out).alias("held_out"), "lang_pred", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,6 +211,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go. A weak cosine alone rejects nothing: short clean texts have one."""
-    rejected = label(docs).filter(F.col("lang_pred") == UNDETERMINED).select(F.col("doc_id").alias("_gone"))
-    return docs.join(rejected.distinct(), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    """Documents without a language go. A weak cosine alone rejects nothing: short clean texts have one.
+    Whole rows pass through the tasks that tell their language, so nothing is joined or exchanged."""
+    known = spark.sparkContext.broadcast(prototypes(docs.filter(~_held_out(docs))))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiles = Profiles(*known.value)
+        for batch in batches:
+            for part in parts(batch, at):
+                langs = profiles.predict(lowered(part.column(at)))[0]
+                yield part.filter(pa.array([lang != UNDETERMINED for lang in langs], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
