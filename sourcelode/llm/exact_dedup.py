@@ -69,7 +69,8 @@ def grouped(keyed: DataFrame) -> DataFrame:
 def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """Adds a batch to the index; per row of the batch: doc_id, digest, keep_id, group_size of its index entry."""
     keyed = written(digests(docs), "digests")
-    index.append(index.unseen(grouped(keyed)))
+    groups = written(grouped(keyed), "digest-groups")  # else the anti-join is pushed below the aggregation, to every row
+    index.append(index.unseen(groups))
     return keyed.hint("merge").join(index.entries(), "digest")
 
 
