@@ -206,6 +206,7 @@ def label(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     linked = linked.join(least, "component").select("fp", "least")
     classes = unique.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    classes = written(classes, "classes")  # a join of two plain exchanges can be split where a fingerprint is hot
     return each.hint("merge").join(classes, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), BITS // 4, "0").alias("fingerprint"), "component_id"
     )
