@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import blocks
-from .common import fresh_path, table
+from .common import fresh_path, table, written
 
 BLOCK, SIDE, PAD, MAGIC = 576, 24, b"\xff", b"\x89PNG\r\n\x1a\n"
 ITEM = "STRUCT<position: INT, kind: STRING, text: STRING, ref: STRING, caption: STRING>"
@@ -220,7 +220,7 @@ def document_pages(docs: DataFrame) -> DataFrame:
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    media = read_back(store_texts(docs))
+    media = written(read_back(store_texts(docs)), "media-columns")  # so that the join can be split where a digest is hot
     return resolved(sequences(document_pages(docs)), media).filter("kind = 'media'").select(
         F.col("page_id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"
     )
