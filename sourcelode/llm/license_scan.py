@@ -2,7 +2,7 @@
 
 Templates are short licence notices. Document frequencies of all template words are counted over the whole
 corpus (a table of at most as many rows as templates have words); each template is indexed under its
-`RARE` highest-IDF words: word -> (template, position). A file's highest-IDF licence words are looked up,
+`RARE` highest-IDF words: word -> (template, position). All index words that a file has are looked up,
 the postings of each give template starts (word place minus posting), and starts on which two words agree
 are candidates. A candidate counts if the template's mandatory phrases stand at their relative positions.
 Base phrases are searched for in every file beside that. Everything is computed within a row: no shuffle
@@ -23,7 +23,7 @@ from .common import fold_ascii, table, text_or_empty
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit": ("mit", "license"), "apache": ("apache", "license"), "gpl": ("general", "public", "license")}
-RARE, LOOKED_UP = 4, 24
+RARE = 4
 
 #: Opening wording of public licences and of their customary notices: label, words, mandatory phrases.
 TEMPLATES = [
@@ -128,7 +128,7 @@ def scan(docs: DataFrame) -> DataFrame:
     out = docs.select("doc_id", words_of(text_or_empty(docs)).alias("_words"))
     out = out.select(
         "doc_id", "_words", F.size(words).alias("_n"),
-        F.slice(F.array_intersect(strings(by_idf), words), F.lit(1), F.lit(LOOKED_UP)).alias("_looked"),
+        F.array_intersect(strings(by_idf), words).alias("_looked"),
     )
     placed = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     out = out.select(

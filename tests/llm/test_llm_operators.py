@@ -161,6 +161,19 @@ def test_license_scan(spark, docs, rows):
     assert labels[1000] == "mit" and labels[1003] == "bsd" and "lgpl" in labels[1004]
 
 
+def test_license_scan_of_all_notices(spark):
+    """A third-party-notices file: every index word is in it, and a template's may be the most frequent of all."""
+    notices = [words for _, words, _ in license_scan.TEMPLATES]
+    texts = [" zz ".join(notices), " zz ".join(reversed(notices)), *notices, *["licensed under the gnu general public license version 2 0 3"] * 5]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    df = license_scan.document_frequencies(table)
+    assert len({w for t in notices for w in license_scan.rare_words(t, df)}) > 24
+    found = license_scan.scan(table).collect()
+    assert Counter((*r[:7], round(r["score"], 9)) for r in found) == Counter((i, *brute_license(t, df)) for i, t in enumerate(texts))
+    every = ",".join(sorted({label for label, _, _ in license_scan.TEMPLATES}))
+    assert [r["labels"] for r in sorted(found)[:2]] == [every, every]
+
+
 def test_license_scan_of_nothing(no_docs):
     assert license_scan.scan(no_docs).collect() == []
 
