@@ -613,7 +613,9 @@ def parsed_sources(files: DataFrame) -> DataFrame:
     from ..model import Configuration
     from .scan import parse_files
 
-    return parse_files(files.select(F.lit("tables").alias("repo_id"), "path", "content"), Configuration().limits)
+    # no source is left out for its size or time; the token lists, which nothing here reads, keep their bound
+    limits = {"maxDuplicationTokens": Configuration().limits["maxDuplicationTokens"]}
+    return parse_files(files.select(F.lit("tables").alias("repo_id"), "path", "content"), limits)
 
 
 @query(f"WITH {HREFS} SELECT 'page' || page_id || '.ts' AS file, pos + 1 AS line, '.' || href AS specifier, 'runtime' AS kind FROM e")

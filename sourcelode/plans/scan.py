@@ -46,7 +46,7 @@ def parse_files(files: DataFrame, limits: dict[str, int]) -> DataFrame:
                 except (RecursionError, IndexError, KeyError) as error:
                     note = {"code": "PARSE_ERROR", "severity": "error", "message": f"The parser failed ({type(error).__name__}); the file is not analysed.", "file": path, "line": None, "column": None}
                     p = parse_ts.Parsed(valid=False, diagnostics=[note])
-                if (time.monotonic() - began) * 1000 > limits["maxParseTimeMs"]:
+                if (time.monotonic() - began) * 1000 > limits.get("maxParseTimeMs", 1 << 62):
                     note = {"code": "PARSE_TIMEOUT", "severity": "warning", "message": "Parsing took longer than the limit; the file is not analysed.", "file": path, "line": None, "column": None}
                     p = parse_ts.Parsed(valid=False, diagnostics=[note])
                 blocks = [{"start": a, "end": b} for a, b in p.blocks]

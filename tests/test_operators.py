@@ -39,6 +39,23 @@ def test_catalogue_equals_duckdb(spark, name):
     assert got == Counter(tuple(map(value, r)) for r in expected.fetchall())
 
 
+def test_parsing_leaves_no_source_out(spark, tmp_path):
+    """Sources of more tokens than the limit of a scan."""
+    turns = [(1, 0, "user", "x\n" * 60_000), (1, 1, "assistant", "short")]
+    spark.createDataFrame(turns, "conv_id LONG, turn LONG, role STRING, text STRING").write.parquet(str(tmp_path / "conversations.parquet"))
+    pages = [(1, "u", '<a href="/p">p</a> ' * 70_000), (2, "u", '<a href="/q">q</a>')]
+    spark.createDataFrame(pages, "page_id LONG, url STRING, html STRING").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    for t in ("conversations", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name, n in (("parsed_functions", 2), ("parsed_references", 70_001)):
+        df = catalogue.QUERIES[name](spark, str(tmp_path))
+        expected = con.execute(catalogue.ORACLES[name])
+        names = [d[0] for d in expected.description]
+        got = Counter(tuple(value(r[c]) for c in names) for r in df.collect())
+        assert got.total() == n and got == Counter(tuple(map(value, r)) for r in expected.fetchall())
+
+
 def test_entry_file():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and "exact_text_duplicates" in entry.queries()
 
