@@ -23,14 +23,13 @@ def text_groups(candidates: DataFrame) -> DataFrame:
 def verified_occurrences(files: DataFrame, candidates: DataFrame, groups: DataFrame) -> DataFrame:
     """group_file, file, lines of every occurrence whose text equals that of the group's first file.
 
-    The text itself is compared: by its other digest where both sides would else have to carry it through
-    the exchange. Rows of one hot group are split by adaptive execution (sort-merge joins throughout).
+    The texts themselves are compared, beside their digests; past the first exchange only those of groups move.
+    Rows of one hot group are split by adaptive execution (sort-merge joins throughout).
     """
     member = candidates.hint("merge").join(groups.select("hash", "bytes", F.col("file").alias("group_file")), ["hash", "bytes"])
-    other = files.select("file", F.xxhash64("text", F.reverse("text")).alias("_check"), F.md5("text").alias("_md5"))
-    own = member.join(other, "file")
-    first = own.filter("file = group_file").select("group_file", F.col("_check").alias("_c"), F.col("_md5").alias("_m"))
-    return own.hint("merge").join(first, "group_file").filter("_check = _c AND _md5 = _m").select("group_file", "hash", "bytes", "file", "lines")
+    own = member.join(files.select("file", "text"), "file")
+    first = own.filter("file = group_file").select("group_file", F.col("text").alias("_first"))
+    return own.hint("merge").join(first, "group_file").filter("text = _first").select("group_file", "hash", "bytes", "file", "lines")
 
 
 def block_sequences(tokens: DataFrame, blocks: DataFrame, min_tokens: int, min_lines: int) -> DataFrame:

@@ -211,6 +211,20 @@ def test_path_functions(spark):
     assert [r["l"] for r in names] == ["TypeScript", None, "Bazel", None, "Python"]
 
 
+# --- texts -------------------------------------------------------------------------------------------------
+
+
+def test_occurrences_are_verified_by_text(spark, monkeypatch):
+    """Where every digest collides, the texts tell."""
+    files = spark.createDataFrame([("a", "one"), ("b", "two"), ("c", "one")], "file STRING, text STRING")
+    for name in ("md5", "xxhash64"):
+        monkeypatch.setattr(duplication.F, name, lambda *columns: F.lit(0))
+    monkeypatch.setattr(duplication.fn, "fingerprint", lambda text: F.lit("same"))
+    candidates = duplication.text_candidates(files, 1, 1)
+    found = duplication.verified_occurrences(files, candidates, duplication.text_groups(candidates)).collect()
+    assert sorted((r["group_file"], r["file"]) for r in found) == [("a", "a"), ("a", "c")]
+
+
 # --- streams -----------------------------------------------------------------------------------------------
 
 
