@@ -1,5 +1,12 @@
 """The corpus pipeline: toxicity, language, exact copies, near copies, packing. Each stage's rows are written
-as Parquet in the shared folder and read again as the next one's documents."""
+as Parquet in the shared folder and read again as the next one's documents.
+
+Defined cases: null and empty texts are kept by toxicity (if clean) and rejected by language, which finds no
+letter in them; very long texts pass every stage whole; of equal texts the row with the largest id stays, of near
+copies that whose id names the component, and one row where such a row is repeated or ids tie; rows of a null id
+give way to others; an empty table gives no sequences; columns beyond those of documents, whatever their names,
+stay until packing, which returns its own columns.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +23,7 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: Toxicity, language, fingerprints and token ids are beyond SQL: the tests hold run() against a brute-force version.
+#: Toxicity, language, fingerprints and token ids are beyond SQL: the tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
