@@ -1,8 +1,10 @@
 """Connected components of a link table by alternating large-star and small-star rounds.
 
-Rounds grow with the logarithm of the longest path. Each round's links are written to the shared folder
-and read back. Nodes' smallest neighbours are partial sums; the joins are sort-merge joins that adaptive
-execution can split at hot nodes. Nothing but two sums a round reaches the driver.
+Rounds grow with the logarithm of the longest path. Each round's links, and each node's smallest neighbour
+(partial minima), are written to the shared folder and read back. The smallest neighbours of hot nodes, those
+with over a thousandth of the links, are broadcast (a few thousand rows at most, whatever the input), so the
+links of a hot node are never brought together; all others meet theirs in a sort-merge join. Nothing but two
+sums a round reaches the driver.
 """
 
 from __future__ import annotations
@@ -10,13 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_each, written
 
 
-def _stars(links: DataFrame, large: bool) -> DataFrame:
+def _stars(links: DataFrame, large: bool, total: int) -> DataFrame:
     """links(u, v): for each u, its neighbours go to the smallest of them and u."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    joined = links.hint("merge").join(least, "u").withColumn("m", F.least("u", "m"))
+    least = written(links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")), "least")
+    joined = join_each(links, least, "u", total, "_n").withColumn("m", F.least("u", "m"))
     if large:
         return joined.filter("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     others = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -30,13 +32,14 @@ def _state(links: DataFrame):
 
 def components(links: DataFrame) -> DataFrame:
     """links(u, v), u != v, in either direction or both -> (node, component), component the smallest node
-    reachable. Nodes without links aren't in the result; no links, no rows."""
+    reachable. Nodes without links aren't in the result; no links, no rows; repeated links count once."""
     turned = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v")
     now = written(turned.distinct(), "links")
     state = _state(now)
     while state["n"]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        now = written(_stars(_stars(both, True), False), "links")
+        large = written(_stars(both, True, 2 * state["n"]), "stars")
+        now = written(_stars(large, False, 2 * state["n"]), "links")
         last, state = state, _state(now)
         if last == state:
             break

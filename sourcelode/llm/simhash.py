@@ -5,18 +5,24 @@
    are sums over all distinct fingerprints (64 x 64 numbers).
 3. Thresholds: for a Hamming distance of at most t, thresholds t_i >= -1 of the partitions with
    sum(t_i + 1) = t + 1 lose no pair. Dynamic programming picks those with the fewest estimated candidates
-   and probes, for each number of partitions.
+   and probes, for each number of partitions. More than t + 1 partitions can't help: those beyond would have
+   threshold -1 and only make the others' keys shorter. With few fingerprints that gives three keys of about
+   21 bits and thresholds 0; from some 40 million on keys of 32 bits with thresholds 1 and 0, and towards
+   10^12 one key of all bits with threshold 2: keys grow with the table, and buckets stay small.
 4. Each fingerprint is indexed under its value in each partition in use, and probes all values within t_i.
    Index and probes meet in an equi-join; the join's condition verifies the whole distance.
-5. Values that more than BUCKET fingerprints share would make pairs by the square. All that probe such a
-   value go another, equally exact way: two fingerprints differ in at most 2 bits if and only if some third
-   word is within 1 bit of both, so each is sent to its 65 neighbours, where at most 65 can meet, and all
-   that meet are linked to the smallest. (That way is for t = 2, the contract's.)
+5. A hot value, which more than BUCKET fingerprints share, would make pairs by the square: over BUCKET / 2
+   for each of them. All that probe such a value go another, equally exact way with 65 rows each: two
+   fingerprints differ in at most 2 bits if and only if some third word is within 1 bit of both, so each is
+   sent to its 65 neighbours, where at most 65 can meet, and all that meet are linked to the smallest. BUCKET
+   is where the two ways cost alike. (The second is for t = 2, the contract's.)
 6. Components of the links.
 
 Defined cases: null and empty texts have fingerprint zero and link to each other; texts under three words
-are one shingle; an empty table gives no rows; null ids take their group's component (null if the group has
-no other id); repeated rows are kept; other columns are not read.
+are one shingle; very long texts are hashed whole, in parts of bounded memory; fingerprints that tie on a bit
+(half the shingles) have it 0; an empty table gives no rows; null ids take their group's component (null if
+the group has no other id); repeated rows are kept, though the pipeline's stage keeps one row of each
+component; other columns are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -29,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import join_each, survivors, table, text_or_empty, written
 from .components import components
 
-WIDTH, DISTANCE, BITS, BUCKET, SEED = 3, 2, 64, 64, 42
+WIDTH, DISTANCE, BITS, SEED = 3, 2, 64, 42
+BUCKET = 2 * (BITS + 1)
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -61,12 +68,19 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, fp, and a hash of the text that tells rows of one id apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [fingerprint(x.as_py(), width) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["doc_id", "fp"])
+            out = [fingerprint(x.as_py(), width) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["doc_id", "text_hash", "fp"])
+
+    own = docs.select(docs["doc_id"].cast("long"), text_hash(docs).alias("text_hash"), "text")
+    return own.mapInArrow(run, "doc_id BIGINT, text_hash BIGINT, fp BIGINT")
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, "doc_id BIGINT, fp BIGINT")
+
+def text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(text_or_empty(docs))
 
 
 def bit_statistics(unique: DataFrame) -> tuple[int, np.ndarray]:
@@ -197,17 +211,25 @@ def links(unique: DataFrame, partitions: list[tuple[list[int], int]], distance:
     return small.unionByName(met)
 
 
-def label(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp of every row; fp, its rows n, component's smallest fp, component_id)."""
     each = written(fingerprints(docs, width), "fingerprints")
-    unique = written(each.groupBy("fp").agg(F.min("doc_id").alias("rep")), "unique-fingerprints")
+    counts = each.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    unique = written(counts, "unique-fingerprints")
     n, pairs = bit_statistics(unique)
     parts = components(links(unique, plan(n, pairs))).withColumnRenamed("node", "fp")
-    linked = unique.join(parts, "fp")
-    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
-    linked = linked.join(least, "component").select("fp", "least")
-    classes = unique.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    classes = written(classes, "classes")  # a join of two plain exchanges can be split where a fingerprint is hot
-    return each.hint("merge").join(classes, "fp").select(
+    linked = written(unique.join(parts, "fp"), "linked")
+    least = written(linked.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("_n")), "least")
+    linked = join_each(linked, least, "component", n, "_n").select("fp", "component", "least")
+    found = unique.join(linked, "fp", "left").select(
+        "fp", "n", F.coalesce("component", "fp").alias("component"), F.coalesce("least", "rep").alias("component_id")
+    )
+    return each, written(found, "classes")
+
+
+def label(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    each, found = classes(docs, width)
+    return join_each(each, found, "fp", each.count(), "n").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), BITS // 4, "0").alias("fingerprint"), "component_id"
     )
 
@@ -217,6 +239,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that whose id names it."""
-    kept = label(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each component stays: of the rows with the id that names it, that with the smallest hash of its
+    text, and one of those if it is repeated."""
+    each, found = classes(docs)
+    total = each.count()
+    named = join_each(each, found, "fp", total, "n").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = named.groupBy("component", "text_hash", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("component").agg(F.min(F.struct("text_hash", "doc_id", "n")).alias("f"))
+    kept = first.select(F.col("f.text_hash").alias("k0"), F.col("f.doc_id").alias("k1"), "f.n")
+    return survivors(docs, [text_hash(docs), docs["doc_id"].cast("long")], written(kept, "kept"), total)
