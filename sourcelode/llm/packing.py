@@ -7,11 +7,14 @@
    as often as its lengths last, then removed. Each run of the program uses up a length or nearly so, so
    runs depend on the number of lengths, not on that of documents.
 4. A piece's rank among those of its length tells its sequence and place: ranks are counted by (length,
-   lane), with lanes from a hash of the id, so a length that a third of the pieces have is ranked by many
-   tasks. The table of combinations has at most a few rows a length and is joined by broadcast.
-
-Defined cases: a null or empty text is the end id alone; pieces of the capacity fill a sequence of their
-own; repeated rows are packed each; an empty table gives no rows; other columns are not read.
+   lane), with lanes from a hash of the piece and its row number, fixed when the pieces are written. So a
+   length, an id or a text that a third of the pieces have is ranked by many tasks. The table of combinations
+   has at most a few rows a length and is joined by broadcast.
+
+Defined cases: a null or empty text is the end id alone; pieces of the capacity fill a sequence of their own;
+a very long text becomes as many pieces as it needs; pieces of one length tie, and go in order of lane, id,
+piece, start and crc; repeated rows are packed each; null ids are kept; an empty table gives no rows; other
+columns are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -109,17 +112,17 @@ def slots(found: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int,
 
 def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = docs.sparkSession
-    rows = written(pieces(docs, capacity), "pieces")
-    histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
+    lane = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(LANES))
+    laned = written(pieces(docs, capacity).withColumn("lane", lane), "pieces")
+    histogram = {r["length"]: r["count"] for r in laned.groupBy("length").count().collect()}
     plan = spark.createDataFrame(
         slots(combinations(histogram, capacity)),
         "length BIGINT, first_rank BIGINT, ranks BIGINT, copies BIGINT, sequence BIGINT, place BIGINT",
     )
-    laned = rows.withColumn("lane", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(LANES)))
     counted = laned.groupBy("length", "lane").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.select("length", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("length", "lane").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("length", "lane").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = (
         laned.withColumn("n", F.row_number().over(inside)).join(counted, ["length", "lane"])
         .withColumn("rank", F.col("before") + F.col("n") - 1)

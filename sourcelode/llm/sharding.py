@@ -6,12 +6,14 @@ over all partitions (partial sums, at most BUCKETS rows a splitter reach the dri
 bracket is narrowed to the one candidate interval that holds its target, and so on until every splitter
 is within the tolerance or its interval is one group. Then rows are exchanged once, into shards.
 
-Groups larger than a fair share get a shard of their own (fewer than `shards` of them can exist). Inside a
-shard, slots follow (lane, key, doc_id), with lanes from a hash of key and id: a shard, or one group with a
-third of all rows, is numbered by many tasks. Lane counts are a table of at most shards x LANES rows.
-
-Defined cases: a null text has the key of the empty text and size 1; an empty table gives no rows; null and
-repeated ids are kept, one slot a row; the other columns are not read.
+Groups larger than a fair share of what the larger ones leave get a shard of their own (fewer than `shards`
+of them can exist). Inside a shard, slots follow (lane, key, doc_id), with lanes from a hash of key, id and row
+number, fixed when the keys are written: a shard, one group, or repeats of one row with a third of all rows, is
+numbered by many tasks. Lane counts are a table of at most shards x LANES rows.
+
+Defined cases: a null text has the key of the empty text and size 1; a very long text is one row of its size,
+and more than a fair share makes it a shard; keys that tie share a shard; an empty table gives no rows; null
+and repeated ids are kept, one slot a row; the other columns are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ SHARDS, TOLERANCE, BITS, LANES = 8, 0.0005, 12, 2048
 
 def keyed(docs: DataFrame) -> DataFrame:
     text = text_or_empty(docs)
+    row = F.monotonically_increasing_id()
     return docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("key"),
+        F.pmod(F.xxhash64(text, docs["doc_id"], row), F.lit(LANES)).cast("int").alias("lane"),
     )
 
 
@@ -44,7 +48,7 @@ def prefix(key: Column, bits: int) -> Column:
 def large_groups(rows: DataFrame, total: int, shards: int) -> dict[int, int]:
     """Keys whose groups exceed a fair share of what the larger ones leave; fewer than `shards`."""
     sums = rows.groupBy("key").agg(F.sum("size").alias("size"))
-    found = sums.filter(F.col("size") > total // shards).orderBy(F.desc("size")).limit(shards).collect()
+    found = sums.orderBy(F.desc("size"), "key").limit(shards).collect()  # a smaller one can't be among them
     alone, rest = {}, total
     for row in found:
         if row["size"] > rest / (shards - len(alone)) and len(alone) < shards - 1:
@@ -112,7 +116,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -
     cuts = splitters(rest, [share * k for k in range(1, left)], share * tolerance) if total else []
     placed = rows.withColumn(
         "shard", shard_of(F.col("key"), cuts, list(range(left)), {k: left + i for i, k in enumerate(alone)})
-    ).withColumn("lane", F.pmod(F.xxhash64("key", "doc_id"), F.lit(LANES)).cast("int"))
+    )
     lanes = placed.groupBy("shard", "lane").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     lanes = lanes.select("shard", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

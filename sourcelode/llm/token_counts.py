@@ -10,7 +10,8 @@ are summed by text. Texts with longer runs of white space inside, or with the sp
 tokenizer's own pattern instead: slower, and as exact.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows and null ids are kept; an empty
-table gives no rows; other columns are not read. Every text is counted whole.
+table gives no rows; pairs that tie in rank are the same pair, and merge from the left; other columns are not
+read, and may have any name. Every text is counted whole, in blocks of about 16 MB or one longer text.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import table
 
 VOCABULARY, LIMIT, CACHE, AT_ONCE = "byte_bpe_50k.json", 1024, 300_000, 100_000
 NONE = np.int32(2**31 - 1)
+
+_mergers: dict = {}
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -158,11 +161,19 @@ class Merger:
         return total
 
 
+def merger_of(model: str) -> Merger:
+    """One for the process, so that workers that run several tasks merge a pre-token once."""
+    key = hash(model)
+    if key not in _mergers:
+        _mergers[key] = Merger(model)
+    return _mergers[key]
+
+
 def count_tokens(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULARY) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(vocabulary_json(vocabulary))  # a file of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = Merger(model.value)
+        merger = merger_of(model.value)
         for batch in batches:
             for part in blocks(batch, 1):
                 n = merger.count(part.column(1))
