@@ -5,17 +5,25 @@ permuted by its place (rolled by 2, 1 and 0), by product; a text's vector bundle
 sum; a language's prototype bundles its texts' vectors, each in proportion to the text's n-grams. A text
 has the language of the prototype with the greatest cosine.
 
-Bundling is linear in n-gram counts, so texts are counted first (dense over the n-grams that a block of
-texts has) and bound vectors are made once for each n-gram of the block. Prototypes come from all training
+Bundling is linear in n-gram counts, so texts are counted first (dense over the n-grams that a block of texts
+has; blocks are halved until that is at most CELLS numbers or one text) and bound vectors are made once for
+each n-gram of the block. Prototypes come from all training
 rows: n-gram counts are summed within tasks and then by Spark, bound and summed again, and DIMENSION numbers
 a language reach the driver, whatever the input.
 
-Letters: a-z of the lower-cased text, and every other letter by its code point modulo OTHERS; anything
-else is a gap, and runs of gaps are one.
+Letters: a-z of the lower-cased text, and every other letter by its code point modulo OTHERS (so letters of
+different scripts may share a vector, but hardly an n-gram's neighbours); anything else is a gap, and runs of
+gaps are one.
+
+The pipeline's stage rejects a text without letters, and one of SURE different n-grams or more whose best cosine is
+below CHANCE: four times the deviation that cosines of unrelated vectors of this dimension have. Such a text
+has nothing in common with any language learned. Texts of fewer n-grams tell too little to be rejected.
 
 Defined cases: a null text, and one without letters, is `und` with score 0, and so is every text when there
-is nothing to learn from; ties take the first language by name; null languages aren't learned; repeated rows
-and null ids are kept (a null id is not held out); other columns are not read.
+is nothing to learn from (the stage then rejects those without letters alone); ties take the first language
+by name; null languages aren't learned; very long texts are counted whole, in a block of their own; an empty
+table gives no rows; repeated rows and null ids are kept (a null id is not held out); other columns are not
+read, and may have any name.
 """
 
 from __future__ import annotations
@@ -35,6 +43,8 @@ DIMENSION, SEED, OTHERS, BLOCK = 1024, 20240917, 37, 2 << 20
 LETTERS = 27 + OTHERS
 N_GRAMS = LETTERS**3
 UNDETERMINED = "und"
+CELLS = 8 << 20
+SURE, CHANCE = 50, 4 / DIMENSION**0.5
 
 _made: dict = {}
 
@@ -78,16 +88,34 @@ def n_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return owner[1:-1][inside], codes[inside]
 
 
-def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(n-grams that occur, counts [text, n-gram])."""
-    owner, codes = n_grams(texts)
+def distinct(codes: np.ndarray) -> np.ndarray:
     seen = np.zeros(N_GRAMS, bool)
     seen[codes] = True
-    found = np.flatnonzero(seen)
-    number = np.zeros(N_GRAMS, np.int64)
+    return np.flatnonzero(seen)
+
+
+def tally(texts: int, owner: np.ndarray, codes: np.ndarray, found: np.ndarray) -> np.ndarray:
+    number = np.zeros(N_GRAMS, np.int32)
     number[found] = np.arange(len(found))
-    flat = np.bincount(owner * len(found) + number[codes], minlength=len(texts) * len(found)) if len(found) else np.zeros(0)
-    return found, flat.reshape(len(texts), len(found)).astype(np.float32)
+    flat = np.bincount(owner * len(found) + number[codes], minlength=texts * len(found)) if len(found) else np.zeros(0)
+    return flat.reshape(texts, len(found)).astype(np.float32)
+
+
+def tallies(texts: list[str], cells: int = CELLS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, one after the last, n-grams that occur, counts [text, n-gram]) of parts of the texts, whose
+    counts are at most `cells` numbers or those of one text."""
+    owner, codes = n_grams(texts)
+    edges = np.searchsorted(owner, np.arange(len(texts) + 1))
+    work = [(0, len(texts))] if texts else []
+    while work:
+        a, b = work.pop()
+        own = codes[edges[a] : edges[b]]
+        found = distinct(own)
+        if b - a > 1 and (b - a) * len(found) > cells:
+            middle = (a + b) // 2
+            work += [(middle, b), (a, middle)]
+        else:
+            yield a, b, found, tally(b - a, owner[edges[a] : edges[b]] - a, own, found)
 
 
 def lowered(texts: pa.Array) -> list[str]:
@@ -113,11 +141,11 @@ def shares(training: DataFrame) -> DataFrame:
         for batch in batches:
             for part in parts(batch, 0):
                 langs = part.column(1).to_pylist()
-                found, counts = counted(lowered(part.column(0)))
-                counts /= np.maximum(counts.sum(axis=1, keepdims=True), 1)
-                for lang in set(langs):
-                    own = np.array([x == lang for x in langs])
-                    sums.setdefault(lang, np.zeros(N_GRAMS))[found] += counts[own].sum(axis=0)
+                for a, b, found, counts in tallies(lowered(part.column(0))):
+                    counts /= np.maximum(counts.sum(axis=1, keepdims=True), 1)
+                    for lang in set(langs[a:b]):
+                        own = np.array([x == lang for x in langs[a:b]])
+                        sums.setdefault(lang, np.zeros(N_GRAMS))[found] += counts[own].sum(axis=0, dtype=np.float64)
         for lang, s in sums.items():
             code = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(s[code])], names=["lang", "code", "share"])
@@ -161,13 +189,21 @@ class Profiles:
         self.langs, self.vectors = langs, vectors
 
     def cosines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(n-grams of each text, cosines [text, language])."""
-        found, counts = counted(texts)
-        bundled = np.zeros((len(texts), DIMENSION), np.float32)
-        for at in range(0, len(found), 8192):
-            bundled += counts[:, at : at + 8192] @ bound(found[at : at + 8192]).astype(np.float32)
+        """(different n-grams of each text, cosines [text, language])."""
+        n, bundled = np.zeros(len(texts), np.int64), np.zeros((len(texts), DIMENSION), np.float32)
+        for a, b, found, counts in tallies(texts):
+            for at in range(0, len(found), 8192):
+                bundled[a:b] += counts[:, at : at + 8192] @ bound(found[at : at + 8192]).astype(np.float32)
+            n[a:b] = np.count_nonzero(counts, axis=1)
         norm = np.linalg.norm(bundled, axis=1, keepdims=True)
-        return counts.sum(axis=1), (bundled / np.maximum(norm, 1e-12)) @ self.vectors.T
+        return n, (bundled / np.maximum(norm, 1e-12)) @ self.vectors.T
+
+    def kept(self, texts: list[str]) -> np.ndarray:
+        """Whether the pipeline's stage keeps each text."""
+        n, cosines = self.cosines(texts)
+        if not self.langs:
+            return n > 0
+        return (n > 0) & ((n < SURE) | (cosines.max(axis=1) >= CHANCE))
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         n, cosines = self.cosines(texts)
@@ -211,8 +247,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go. A weak cosine alone rejects nothing: short clean texts have one.
-    Whole rows pass through the tasks that tell their language, so nothing is joined or exchanged."""
+    """Documents in no language known go: see `Profiles.kept`. Whole rows pass through the tasks that tell their
+    language, so nothing is joined or exchanged."""
     known = spark.sparkContext.broadcast(prototypes(docs.filter(~_held_out(docs))))
     at = docs.columns.index("text")
 
@@ -220,7 +256,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         profiles = Profiles(*known.value)
         for batch in batches:
             for part in parts(batch, at):
-                langs = profiles.predict(lowered(part.column(at)))[0]
-                yield part.filter(pa.array([lang != UNDETERMINED for lang in langs], pa.bool_()))
+                yield part.filter(pa.array(profiles.kept(lowered(part.column(at))), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
