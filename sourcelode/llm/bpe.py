@@ -12,12 +12,13 @@ pre-tokens, or special tokens, which have no white space either).
 3. Ids go back to their block (an equi-join on the block's digest) and by word number to each position.
 4. Decoding joins ids to the pieces of the vocabulary by id and puts the pieces together.
 
-A block is known by the digest of its words, so a task that runs again meets its own requests; a block
+A block is known by the digest of its words and ids, so a task that runs again meets its own requests; a block
 whose requests are missing is an error. A hot word has one request a block, not one a place.
 
 Defined cases: null and empty texts, and texts of white space, have no tokens and the hash of the empty
-string; repeated rows and null ids are kept, one row each; an empty table gives no rows; other columns are
-not read. A very long text is a block of its own.
+string; repeated rows and null ids are kept, one row each; an empty table gives no rows; pairs that tie in rank
+are the same pair, and merge from the left; other columns are not read, and may have any name. A very long text
+is a block of its own.
 """
 
 from __future__ import annotations
@@ -82,6 +83,15 @@ def pieces_of(tok) -> pa.Array:
     return pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.large_string())
 
 
+def piece_table(model: str) -> tuple[pa.Array, pa.Array]:
+    """A model's pieces and decimals by id, kept for the process."""
+    key = ("pieces", hash(model))
+    if key not in _loaded:
+        pieces = pieces_of(tokenizer(model))
+        _loaded[key] = pieces, pa.array(map(str, range(len(pieces))), pa.large_string())
+    return _loaded[key]
+
+
 def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Slices of about `limit` bytes of text, one row at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
@@ -211,8 +221,11 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
-def _key(distinct: pa.Array) -> bytes:
-    return hashlib.blake2b("\n".join(distinct.to_pylist()).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def _key(distinct: pa.Array, doc_ids: pa.Array) -> bytes:
+    """Of a block's words and ids: copies of a text in other blocks have a key of their own."""
+    digest = hashlib.blake2b("\n".join(distinct.to_pylist()).encode("utf-8", "surrogatepass"), digest_size=16)
+    digest.update(str(doc_ids.to_pylist()).encode())
+    return digest.digest()
 
 
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +233,7 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batch, 1):
             offsets, numbers, distinct = split_words(part.column(1))
             arrays = [
-                pa.array([_key(distinct)], pa.binary()), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
+                pa.array([_key(distinct, part.column(0))], pa.binary()), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
                 pa.array([_pack(np.diff(offsets))], pa.binary()), pa.array([_pack(numbers)], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=["block", "doc_ids", "lengths", "numbers"])
@@ -239,7 +252,7 @@ def requests(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for part in blocks(batch, 1):
                 distinct = split_words(part.column(1))[2]
-                words, key, rows = distinct.to_pylist(), _key(distinct), []
+                words, key, rows = distinct.to_pylist(), _key(distinct, part.column(0)), []
                 of = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in words), np.int64, len(words))
                 order = np.argsort(of, kind="stable")
                 for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else []:
@@ -282,11 +295,7 @@ def encode_table(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(vocabulary_json(vocabulary))  # a file of fixed size
 
     def join(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        tok = tokenizer(model.value)
-        if "pieces" not in _loaded:
-            vocabulary = pieces_of(tok)
-            _loaded["pieces"] = vocabulary, pa.array(map(str, range(len(vocabulary))), pa.large_string())
-        pieces, decimals = _loaded["pieces"]
+        pieces, decimals = piece_table(model.value)
         numbers, ids = word_ids(answers.select(["numbers", "lengths", "ids"]).to_pylist())
         order = np.unique(numbers, return_index=True)[1]  # blocks of the same words ask alike
         ids, out = ids.take(pa.array(order)), []

@@ -8,8 +8,10 @@ are candidates. A candidate counts if the template's mandatory phrases stand at
 Base phrases are searched for in every file beside that. Everything is computed within a row: no shuffle
 but that of the word counts, no join, and work linear in a file's words.
 
-Defined cases: a null or empty text has no words, no places, empty labels and score 0; repeated rows each
-get their row; ties in document frequency are resolved by the word; other columns are not read.
+Defined cases: a null or empty text has no words, no places, empty labels and score 0; a very long text is
+scanned whole, in memory that grows with its own words alone; repeated rows and null ids each get their row;
+an empty table gives no rows (all frequencies are 0); ties in document frequency are resolved by the word, ties
+in score don't matter, since the best is reported; other columns are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_ascii, table, text_or_empty
+from .common import UPPER, fold_ascii, table, text_or_empty
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit": ("mit", "license"), "apache": ("apache", "license"), "gpl": ("general", "public", "license")}
@@ -166,3 +168,51 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def oracle() -> str:
+    """The same in SQL, word by word: the templates, their phrases and the base ones come from the values above."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = []
+    for no, (label, words, phrases) in enumerate(TEMPLATES):
+        own = words.split()
+        must = {i + j for p in phrases for i in phrase_starts(own, p.split())[:1] for j in range(len(p.split()))}
+        rows += [f"({no}, {quoted(label)}, {len(own)}, {j}, {quoted(w)}, {j in must})" for j, w in enumerate(own)]
+    base = [f"({quoted(label)}, {', '.join(quoted(w) for w in (*phrase, '')[:3])})" for label, phrase in BASE.items()]
+    folded = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({folded}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+words AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM docs),
+tw(t, label, size, j, w, must) AS (VALUES {', '.join(rows)}),
+base(label, a, b, c) AS (VALUES {', '.join(base)}),
+df AS (SELECT w, count(DISTINCT r) AS n FROM words WHERE w IN (SELECT w FROM tw) GROUP BY w),
+ranked AS (
+  SELECT t, w, row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), w) AS k
+  FROM (SELECT DISTINCT t, w FROM tw) LEFT JOIN df USING (w)),
+starts AS (
+  SELECT r, t, i - j AS o FROM words JOIN tw USING (w) JOIN ranked USING (t, w) WHERE k <= {RARE}
+  GROUP BY r, t, i - j HAVING count(DISTINCT w) >= 2),
+checked AS (
+  SELECT s.r, s.t, s.o, any_value(tw.label) AS label, any_value(tw.size) AS size, count(x.w) AS same
+  FROM starts s JOIN tw ON tw.t = s.t LEFT JOIN words x ON x.r = s.r AND x.i = s.o + tw.j AND x.w = tw.w
+  GROUP BY s.r, s.t, s.o HAVING bool_and(NOT tw.must OR x.w IS NOT NULL)),
+placed AS (
+  SELECT r, i, w, lead(w) OVER (PARTITION BY r ORDER BY i) AS w2, lead(w, 2) OVER (PARTITION BY r ORDER BY i) AS w3 FROM words),
+places AS (SELECT r, i, label FROM placed JOIN base ON w = a AND w2 = b AND (c = '' OR w3 = c)),
+b AS (
+  SELECT r, count(*) AS n, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM places GROUP BY r),
+every AS (
+  SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT r, label FROM places UNION ALL SELECT r, label FROM checked) GROUP BY r),
+best AS (SELECT r, max(same / CAST(size AS DOUBLE)) AS score FROM checked GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base,
+  CAST(b.first_word AS BIGINT) AS first_word, CAST(b.last_word AS BIGINT) AS last_word,
+  coalesce(b.labels, '') AS base_labels, coalesce(every.labels, '') AS labels,
+  greatest(coalesce(best.score, 0.0), CASE WHEN b.n > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
+FROM docs LEFT JOIN b USING (r) LEFT JOIN every USING (r) LEFT JOIN best USING (r)"""
+
+
+ORACLE = oracle()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import (
     bpe,
     exact_dedup,
@@ -28,6 +26,5 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_media_columns": media_columns.query,
     "op10_toxicity": toxicity.query,
-    "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op5_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op1_license_scan": license_scan.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
