@@ -24,7 +24,7 @@ from ..model import CATEGORIES, DEPENDENCY_SCHEMA, DIAGNOSTIC_SCHEMA, FORMULA_VE
 from ..operators import coverage, duplication, filters, graph, rules, score
 from ..sources import manifest as mf
 from ..sources import parse_ts, tree
-from ..sources.tsconfig import Reader, TSConfig, alias_targets, resolve
+from ..sources.tsconfig import TSConfig, configurations, resolve
 
 TOKEN = "array<struct<file:string,idx:int,hash:string,line:int,column:int,end_line:int>>"
 FUNCTION = "array<struct<file:string,name:string,line:int,column:int,end_line:int,lines:int>>"
@@ -398,8 +398,7 @@ def scan(spark: SparkSession, root: str, profile: str | None = None, scope: list
     read = lambda path: tree.safe_read(root, path, tree.SMALL, budget)
     configs: list[TSConfig] = []
     try:
-        loader = Reader(read, config, found.note)
-        configs = [loader.load(f) for f in found.configs]
+        configs = configurations(found.configs, read, config, found.note)
         files = tree.read_files(spark, root, found, config, budget)
     except InputError as error:
         found.note(error.code, error.message, None, "error")
@@ -477,4 +476,4 @@ def exit_code(result: Analysis) -> int:
     return 2 if result.status != "complete" else int(bool(result.tables["findings"].take(1)))
 
 
-__all__ = ["RULES", "VIEWS", "Analysis", "analyze", "exit_code", "resolve_references", "scan", "alias_targets"]
+__all__ = ["RULES", "VIEWS", "Analysis", "analyze", "exit_code", "resolve_references", "scan"]

@@ -12,7 +12,7 @@ from sourcelode.model import CONFIG_FILE, IGNORE_FILE, Configuration, InputError
 from sourcelode.sources import manifest, tree
 from sourcelode.sources.config import parse_configuration
 from sourcelode.sources.parse_ts import count_lines, parse
-from sourcelode.sources.tsconfig import Reader, TSConfig, alias_targets, strip_jsonc
+from sourcelode.sources.tsconfig import TSConfig, configurations, strip_jsonc
 
 
 def make(root, files):
@@ -201,14 +201,38 @@ def load(files, path="tsconfig.json"):
             raise FileNotFoundError(name)
         return files[name]
 
-    return Reader(read, Configuration(), lambda code, *_: notes.append(code)).load(path), notes
+    return configurations([path], read, Configuration(), lambda code, *_: notes.append(code))[0], notes
 
 
 def test_tsconfig_extends_and_aliases():
     files = {"tsconfig.json": '{ // note\n "extends": "./base", "compilerOptions": {"baseUrl": "src",}, }', "base.json": '{"compilerOptions": {"paths": {"@lib/*": ["lib/*"], "exact": ["one.ts"], "@lib/deep/*": ["deep/*"]}, "outDir": "dist", "rootDir": "src"}}'}
     config, notes = load(files)
     assert not notes and config.base == "src" and config.out_dir == "dist"
-    assert alias_targets(config, "@lib/x") == ["src/lib/x"] and alias_targets(config, "@lib/deep/x") == ["src/deep/x"] and alias_targets(config, "exact") == ["src/one.ts"] and alias_targets(config, "other") is None
+    assert {p: t for p, t, _ in config.aliases} == {"@lib/*": ["src/lib/*"], "exact": ["src/one.ts"], "@lib/deep/*": ["src/deep/*"]}
+
+
+@pytest.mark.parametrize("text", ['"strict": "yes"', '"unknownOption": true', '"target": "es1999"', '"lib": "es2020"', '"types": [1]', '"outDir": 3', '"paths": []', '"help": true'])
+def test_compiler_options_are_checked(text):
+    config, notes = load({"tsconfig.json": '{"compilerOptions": {%s}}' % text})
+    assert set(notes) == {"INVALID_TSCONFIG"} and not config.supported
+
+
+def test_known_compiler_options_pass():
+    text = '"strict": true, "target": "ES2022", "module": "NodeNext", "lib": ["es2022", "dom"], "jsx": "react-jsx", "maxNodeModuleJsDepth": 2, "plugins": [{}], "baseUrl": ".", "declaration": null'
+    config, notes = load({"tsconfig.json": '{"compilerOptions": {%s}}' % text})
+    assert not notes and config.supported and config.base == ""
+
+
+def test_a_parent_is_read_once_and_its_state_shared():
+    files, reads, notes = {"a/tsconfig.json": '{"extends": "../base"}', "b/tsconfig.json": '{"extends": "../base.json"}', "base.json": '{"extends": "./gone", "compilerOptions": {"baseUrl": "lib"}}'}, [], []
+
+    def read(name):
+        reads.append(name)
+        return files[name] if name in files else (_ for _ in ()).throw(FileNotFoundError(name))
+
+    a, b = configurations(["a/tsconfig.json", "b/tsconfig.json"], read, Configuration(), lambda code, *_: notes.append(code))
+    assert reads == ["a/tsconfig.json", "base.json", "gone.json", "b/tsconfig.json"] and notes == ["READ_ERROR"]
+    assert (a.base, b.base, a.supported, b.supported, a.directory, b.directory) == ("lib", "lib", False, False, "a", "b")
 
 
 @pytest.mark.parametrize(
@@ -230,7 +254,7 @@ def test_comments_in_strings_stay():
 
 
 def script(text, name="build", declared=("tool", "typescript", "@s/cli")):
-    return manifest.Script(name, text, set(declared)).facts
+    return manifest.script_facts(name, text, set(declared))
 
 
 @pytest.mark.parametrize(
@@ -245,6 +269,10 @@ def script(text, name="build", declared=("tool", "typescript", "@s/cli")):
         ("echo a.js", [], []),
         ("npm run build; pnpm exec tool", [], ["tool"]),
         ("node --conditions dev 'my file.js'", [("my file.js", True)], []),
+        ("node main.js --import=./late.mjs args.js", [("main.js", True), ("./late.mjs", True)], []),
+        ("yarn run tool.js; yarn tool", [("tool.js", False)], ["tool"]),
+        ("cross-env A=1 npx tsx src/run.ts | cat out.js", [("src/run.ts", True)], []),
+        ('node "a \\" b.js" && echo \'x\\\' y\'', [('a " b.js', True)], []),
     ],
 )
 def test_scripts(text, entries, tools):
