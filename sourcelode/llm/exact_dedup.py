@@ -44,8 +44,8 @@ class DigestIndex:
         context = self.spark.sparkContext
         target = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/layout")
         if not target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target):
-            made = [(buckets or shuffle_width(self.spark), SCHEMA)]
-            self.spark.createDataFrame(made, "buckets INT, columns STRING").coalesce(1).write.json(f"{self.path}/layout")
+            made = self.spark.range(1).select(F.lit(buckets or shuffle_width(self.spark)).alias("buckets"), F.lit(SCHEMA).alias("columns"))
+            made.coalesce(1).write.json(f"{self.path}/layout")
         found = self.spark.read.schema("buckets INT, columns STRING").json(f"{self.path}/layout").first()
         if found["columns"] != SCHEMA:
             raise ValueError(f"the index at {self.path} has columns {found['columns']}")
