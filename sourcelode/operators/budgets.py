@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import running_total
 
 
 def byte_budget(rows: DataFrame, value: str, order: list[str], limit: int, keys: list[str] = ()) -> DataFrame:
-    """Adds total and within: rows after the one that overflows are out as well, since totals only grow."""
-    if keys:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn("total", F.sum(value).over(w))
-    else:
-        rows = running_total(rows, value, order, "total")
-    return rows.withColumn("within", F.col("total") <= limit)
+    """Adds total and within: rows after the one that overflows are out as well, since totals only grow. Rows are
+    dealt by range, so a key with most of the rows is summed by many tasks."""
+    return running_total(rows, value, order, "total", keys).withColumn("within", F.col("total") <= limit)
 
 
 def summary(budgeted: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,19 +22,24 @@ def summary(budgeted: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def skipping_budget(rows: DataFrame, key: str, value: str, order: list[str], limit: int) -> DataFrame:
-    """Within each key, a row that would overflow is left out and later, smaller ones may still fit; reaching the
-    limit ends it. A fold by nature: one task a key (a repository, bounded by maxFiles rows)."""
+    """Adds `before`, what rows before this one have used, and `within`. Within each key, a row that would overflow
+    is left out and later, smaller ones may still fit; reaching the limit ends it.
+
+    A fold by nature, in Arrow batches of (key, order, value) alone. The task of a hot
+    key holds numbers, no payload.
+    """
     kinds = dict(rows.dtypes)
-    columns = rows.columns
+    columns = [key, *order, value]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        used, taken = 0, []
+        pdf = pdf.sort_values(order, kind="stable")
+        used, before, taken = 0, [], []
         for v in pdf[value]:
             fits = used < limit and used + v <= limit
+            before.append(used)
             taken.append(fits)
             used += v if fits else 0
-        return pdf.assign(within=taken)
+        return pdf.assign(before=before, within=taken)
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
-    return rows.groupBy(key).applyInPandas(run, f"{schema}, within boolean")
+    return rows.select(columns).groupBy(key).applyInPandas(run, f"{schema}, before bigint, within boolean")

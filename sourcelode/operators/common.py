@@ -9,18 +9,33 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where that is unset."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir of the session. Where that is unset, a local folder of the application if it runs on
+    one machine, and an error on a cluster."""
+    known, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not known:
-        known = tempfile.mkdtemp(prefix="sourcelode-")
-        spark.conf.set("spark.checkpoint.dir", known)
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = tempfile.mkdtemp(prefix="sourcelode-")
+        known = _own[context.applicationId]
     return known.rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder, read back: the lineage of a loop ends there."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """df as a table in the shared folder, read back: the lineage of a loop ends there. The application's tables
+    are deleted when the driver ends in good order."""
+    context = df.sparkSession.sparkContext
+    folder = f"{shared_dir(df.sparkSession)}/sourcelode-tables-{context.applicationId}"
+    target = context._jvm.org.apache.hadoop.fs.Path(folder)
+    files = target.getFileSystem(context._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

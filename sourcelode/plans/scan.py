@@ -10,18 +10,27 @@ from __future__ import annotations
 import os
 import posixpath
 import re
+import signal
+import threading
 import time
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..functions.redaction import safe_text
 from ..model import CATEGORIES, DEPENDENCY_SCHEMA, DIAGNOSTIC_SCHEMA, FORMULA_VERSION, RULES, SCHEMA_VERSION, VIEWS, Configuration, InputError
-from ..operators import coverage, duplication, filters, graph, rules, score
+from ..operators import budgets, coverage, duplication, filters, graph, rules, score
+from ..operators.common import written
 from ..sources import manifest as mf
 from ..sources import parse_ts, tree
 from ..sources.tsconfig import TSConfig, configurations, resolve
@@ -33,6 +42,42 @@ NOTE = "array<struct<" + DIAGNOSTIC_SCHEMA.replace(" STRING", ":string").replace
 PARSED = f"repo_id string, file string, valid boolean, generated boolean, lines int, dependencies {EDGE}, functions {FUNCTION}, tokens {TOKEN}, blocks array<struct<start:int,end:int>>, diagnostics {NOTE}"
 
 
+class ParseTimeout(Exception):
+    pass
+
+
+@contextmanager
+def interrupted_after(milliseconds: int | None):
+    """Raises ParseTimeout inside the block when the time is up. Workers run their code on the main thread, where
+    a timer's signal gets through between byte codes; elsewhere the block is not limited."""
+    if not milliseconds or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_):
+        raise ParseTimeout
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, milliseconds / 1000)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def parse_one(path: str, content: str, limits: dict[str, int]) -> parse_ts.Parsed:
+    """A file that takes too long, or that the parser fails on, costs its own rows only."""
+    try:
+        with interrupted_after(limits.get("maxParseTimeMs")):
+            return parse_ts.parse(path, content, limits)
+    except ParseTimeout:
+        code, severity, message = "PARSE_TIMEOUT", "warning", "Parsing took longer than the limit; the file is not analysed."
+    except (RecursionError, IndexError, KeyError, MemoryError) as error:
+        code, severity, message = "PARSE_ERROR", "error", f"The parser failed ({type(error).__name__}); the file is not analysed."
+    return parse_ts.Parsed(valid=False, diagnostics=[{"code": code, "severity": severity, "message": message, "file": path, "line": None, "column": None}])
+
+
 def parse_files(files: DataFrame, limits: dict[str, int]) -> DataFrame:
     """One row a syntax file, with its facts nested; each fact table is an explode of it."""
 
@@ -40,15 +85,7 @@ def parse_files(files: DataFrame, limits: dict[str, int]) -> DataFrame:
         for batch in batches:
             rows = []
             for repo, path, content in zip(batch["repo_id"], batch["path"], batch["content"], strict=True):
-                began = time.monotonic()
-                try:
-                    p = parse_ts.parse(path, content, limits)
-                except (RecursionError, IndexError, KeyError) as error:
-                    note = {"code": "PARSE_ERROR", "severity": "error", "message": f"The parser failed ({type(error).__name__}); the file is not analysed.", "file": path, "line": None, "column": None}
-                    p = parse_ts.Parsed(valid=False, diagnostics=[note])
-                if (time.monotonic() - began) * 1000 > limits.get("maxParseTimeMs", 1 << 62):
-                    note = {"code": "PARSE_TIMEOUT", "severity": "warning", "message": "Parsing took longer than the limit; the file is not analysed.", "file": path, "line": None, "column": None}
-                    p = parse_ts.Parsed(valid=False, diagnostics=[note])
+                p = parse_one(path, content, limits)
                 blocks = [{"start": a, "end": b} for a, b in p.blocks]
                 rows.append((repo, path, p.valid, p.generated, p.lines, p.dependencies, p.functions, p.tokens, blocks, p.diagnostics))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")])
@@ -56,6 +93,67 @@ def parse_files(files: DataFrame, limits: dict[str, int]) -> DataFrame:
     return files.select("repo_id", "path", "content").mapInPandas(run, PARSED)
 
 
+BUDGETS = {  # limit -> fact table it counts, code, message
+    "maxDependencies": ("dependencies", "DEPENDENCY_LIMIT", "The references of this file are beyond the limit of all files; it is not analysed."),
+    "maxEntries": ("functions", "METRIC_LIMIT", "The functions of this file are beyond the limit of all files; its metrics and bodies are partial."),
+    "maxDuplicationTokens": ("tokens", "DUPLICATION_TOKEN_LIMIT", "The tokens of this file are beyond the limit of all files; duplicates in it are not assessed."),
+}
+
+
+def within_budgets(parsed: DataFrame, limits: dict[str, int]) -> tuple[DataFrame, bool]:
+    """parsed without what the limits over all files of a repository leave no room for, and whether the limit of
+    references was reached with files left, which ends a scan.
+
+    Files count in order of their paths. References: a file that does not fit is left out, and later, smaller ones
+    may fit. Functions: a file keeps those there is room for, and only their bodies. Tokens: a file that does not
+    fit takes what room is left and has none. Only files' counts are folded, one task a repository.
+    """
+    sized = parsed.filter("valid AND NOT generated").select(
+        "repo_id", "file", *[F.size(column).cast("long").alias(column) for column, _, _ in BUDGETS.values()]
+    )
+    totals = sized.groupBy("repo_id").agg(*[F.sum(c).alias(c) for c, _, _ in BUDGETS.values()])
+    over = [F.col(c) >= limits[limit] if c == "dependencies" else F.col(c) > limits[limit] for limit, (c, _, _) in BUDGETS.items()]
+    if not totals.filter(reduce(or_, over)).take(1):
+        return parsed, False
+    edges = budgets.skipping_budget(sized.select("repo_id", "file", "dependencies"), "repo_id", "dependencies", ["file"], limits["maxDependencies"])
+    kept = sized.join(edges.select("repo_id", "file", F.col("within").alias("_fits"), F.col("before").alias("_edges")), ["repo_id", "file"])
+    kept = kept.withColumn("_ended", F.col("_edges") >= limits["maxDependencies"])
+    for column, limit in (("functions", "maxEntries"), ("tokens", "maxDuplicationTokens")):
+        own = F.when(F.col("_fits"), F.col(column)).otherwise(0)
+        room = F.lit(limits[limit]) - (running_total_in(own) - own)
+        kept = kept.withColumn(f"_{column}", F.greatest(F.lit(0), room))
+    room = kept.select("repo_id", "file", "_fits", "_ended", "_functions", "_tokens")
+    joined = parsed.join(room, ["repo_id", "file"], "left")
+    counted = F.coalesce("_fits", F.lit(False))
+    out = joined.withColumn("valid", F.col("valid") & (F.coalesce("_fits", F.lit(True)) | F.col("generated")))
+    cut, full = counted & (F.size("functions") > F.col("_functions")), counted & (F.size("tokens") > F.col("_tokens"))
+    notes = F.array_compact(F.array(
+        F.when(~F.coalesce("_fits", F.lit(True)) & ~F.coalesce("_ended", F.lit(False)), note_of("maxDependencies")),
+        F.when(cut, note_of("maxEntries")), F.when(full, note_of("maxDuplicationTokens")),
+    ))
+    none = F.filter("tokens", lambda _: F.lit(False))
+    bodies = F.when(cut, F.concat(F.slice("blocks", 1, 1), F.slice("blocks", F.lit(2), F.greatest(F.lit(0), F.col("_functions").cast("int"))))).otherwise(F.col("blocks"))
+    out = out.select(
+        "repo_id", "file", "valid", "generated", "lines", "dependencies",
+        F.when(cut, F.slice("functions", F.lit(1), F.col("_functions").cast("int"))).otherwise(F.col("functions")).alias("functions"),
+        F.when(full, none).otherwise(F.col("tokens")).alias("tokens"),
+        F.when(full, F.filter("blocks", lambda _: F.lit(False))).otherwise(bodies).alias("blocks"),
+        F.concat("diagnostics", notes).alias("diagnostics"),
+    )
+    return out, bool(room.filter("_ended").take(1))
+
+
+def note_of(limit: str) -> Column:
+    _, code, message = BUDGETS[limit]
+    null = F.lit(None).cast("int")
+    return F.struct(F.lit(code).alias("code"), F.lit("warning").alias("severity"), F.lit(message).alias("message"), F.col("file"), null.alias("line"), null.alias("column"))
+
+
+def running_total_in(value: Column) -> Column:
+    """Of counts by file, a repository's rows (at most maxFiles) in one task."""
+    return F.sum(value).over(Window.partitionBy("repo_id").orderBy("file").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
 def explode(parsed: DataFrame, column: str) -> DataFrame:
     own = parsed.filter("valid AND NOT generated") if column != "diagnostics" else parsed
     return own.select("repo_id", F.inline(column))
@@ -305,6 +403,9 @@ LIMITATIONS = [
 ]
 
 
+TEXT_LIMITATION = "Other languages than TypeScript and JavaScript have line counts and are compared whole; their references, functions, packages and blocks are not interpreted."
+
+
 def run_rules(spark: SparkSession, found: tree.Discovery, project: Project, facts: dict[str, DataFrame], config: Configuration, counts: dict, early: bool) -> tuple[DataFrame, dict[str, DataFrame], dict]:
     files, dependencies = facts["analyzed"], facts["dependencies"]
     uncertain = bool(counts["text"] or project.uncertain_entries or project.uncertain_scripts or counts["diagnostics"] or counts["open"])
@@ -316,6 +417,10 @@ def run_rules(spark: SparkSession, found: tree.Discovery, project: Project, fact
     syntax = facts["parsed"].filter("valid AND NOT generated").select(F.col("file").alias("path"))
     reached = graph.reachable(inner, entries.select(F.col("file").alias("node")))
     usage = graph.file_usage(syntax, reached, bool(project.entries), uncertain)
+    unread = facts["text_files"].select(
+        F.col("path").alias("file"), F.lit("unknown").alias("state"), F.lit("UNKNOWN").alias("confidence"),
+        F.lit("A text file: what it refers to is not interpreted.").alias("reason"),
+    )
 
     components = graph.strong_components(filters.runtime_edges(dependencies))
     capped = graph.capped_components(components, config.limits["maxFindings"])
@@ -351,7 +456,7 @@ def run_rules(spark: SparkSession, found: tree.Discovery, project: Project, fact
         rules.oversized_files(facts["file_metrics"], config.thresholds["fileLines"]).drop("observed"),
         rules.oversized_functions(facts["functions"], config.thresholds["functionLines"]).drop("observed"),
         rules.duplicate_findings(groups, "Blocks of equal tokens", "A whole file or function body; comments and white space aside."),
-        rules.duplicate_findings(text_groups, "Files of equal text", "Whole texts, compared byte for byte."),
+        rules.duplicate_findings(text_groups, "Files of equal text", "Whole texts, compared as such."),
     ]
     findings = found_rows[0]
     for more in found_rows[1:]:
@@ -377,12 +482,46 @@ def run_rules(spark: SparkSession, found: tree.Discovery, project: Project, fact
         facts["functions"].select(F.lit("oversized-function").alias("rule_id"), "file", "line", "column", "lines")
     )
     findings = rules.contextualized(findings, roles, sizes, config.thresholds["fileLines"], config.thresholds["functionLines"])
-    tables = {"entry_points": entries, "file_usage": usage, "package_usage": package_usage, "components": components, "duplicates": groups.unionByName(text_groups), "roles": roles}
+    tables = {"entry_points": entries, "file_usage": usage.unionByName(unread), "package_usage": package_usage, "components": components, "duplicates": groups.unionByName(text_groups), "roles": roles}
     return findings, tables, {"uncertain": uncertain}
 
 
-def scan(spark: SparkSession, root: str, profile: str | None = None, scope: list[str] | None = None, deadline_ms: int | None = None) -> Analysis:
-    """Analyses one tree. Configuration errors raise InputError; all else becomes diagnostics."""
+@contextmanager
+def deadline(spark: SparkSession, seconds: float, cancelled: threading.Event | None):
+    """Jobs that the block starts are cancelled when the time is up or the event is set. Yields a function that
+    tells the code of what happened, if anything did."""
+    context, group, why = spark.sparkContext, f"scan-{uuid.uuid4().hex}", []
+    finished, ends = threading.Event(), time.monotonic() + seconds
+
+    def watch() -> None:
+        while not finished.wait(0.05):
+            if cancelled is not None and cancelled.is_set():
+                why.append("CANCELLED")
+            elif time.monotonic() > ends:
+                why.append("SCAN_TIMEOUT")
+            if why:
+                context.cancelJobGroup(group)
+
+    context.setJobGroup(group, "scan", interruptOnCancel=True)
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        yield lambda: why[0] if why else None
+    finally:
+        finished.set()
+        watcher.join()
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+JOB_ALLOWANCE = 10
+STOPPED = {"CANCELLED": "The scan was cancelled.", "SCAN_TIMEOUT": "The time limit of the scan was reached."}
+
+
+def scan(spark: SparkSession, root: str, profile: str | None = None, scope: list[str] | None = None, deadline_ms: int | None = None, cancelled: threading.Event | None = None) -> Analysis:
+    """Analyses one tree. Configuration errors raise InputError; all else becomes diagnostics. The deadline and the
+    event `cancelled` cover the walk, parsing and rules; a scan that they stop is partial and has no findings.
+    Without deadline_ms the configuration's timeoutMs holds for the walk, and JOB_ALLOWANCE times that for all of
+    the scan, since the fixed costs of its jobs are not the tree's."""
     root = os.path.abspath(root)
     if os.path.islink(root) or not os.path.isdir(root):
         raise InputError("INVALID_ROOT", "The root must be a directory, and no link.")
@@ -392,34 +531,54 @@ def scan(spark: SparkSession, root: str, profile: str | None = None, scope: list
 
         config.scope = valid_scope(list(scope))
     budget = tree.Budget(config.limits["maxTotalBytes"])
-    deadline = time.monotonic() + (deadline_ms or config.limits["timeoutMs"]) / 1000
-    aborted = False
-    found = tree.discover(root, config, budget, deadline)
+    walk = (config.limits["timeoutMs"] if deadline_ms is None else deadline_ms) / 1000
+    seconds = walk * JOB_ALLOWANCE if deadline_ms is None else walk
+    found = tree.Discovery()
     read = lambda path: tree.safe_read(root, path, tree.SMALL, budget)
-    configs: list[TSConfig] = []
+    with deadline(spark, seconds, cancelled) as stopped:
+        try:
+            found, files, configs, aborted = acquired(spark, root, config, budget, read, time.monotonic() + walk)
+            result = analyze(spark, root, files, found, configs, config, read, aborted)
+            if not stopped():
+                return result
+        except (PySparkException, Py4JError):
+            if not stopped():
+                raise
+    if not any(d["code"] == stopped() for d in found.diagnostics):
+        found.note(stopped(), STOPPED[stopped()])
+    return analyze(spark, root, spark.createDataFrame([], tree.FILES), found, [], config, read, True)
+
+
+def acquired(spark: SparkSession, root: str, config: Configuration, budget: tree.Budget, read, ends: float) -> tuple[tree.Discovery, DataFrame, list[TSConfig], bool]:
+    """The walk, configurations and files of a tree; whether a limit of the whole scan ended it."""
+    found, configs = tree.Discovery(), []
     try:
+        found = tree.discover(root, config, budget, ends)
         configs = configurations(found.configs, read, config, found.note)
         files = tree.read_files(spark, root, found, config, budget)
+        return found, files, configs, any(d["code"] == "TOTAL_BYTES_LIMIT" for d in found.diagnostics)
     except InputError as error:
         found.note(error.code, error.message, None, "error")
-        files, aborted = spark.createDataFrame([], tree.FILES), True
-    return analyze(spark, root, files, found, configs, config, read, aborted)
+        return found, spark.createDataFrame([], tree.FILES), configs, True
 
 
 def analyze(spark: SparkSession, root: str, files: DataFrame, found: tree.Discovery, configs: list[TSConfig], config: Configuration, read, aborted: bool = False) -> Analysis:
-    from ..operators.common import written
-
     name = fn.language(F.col("path"), config.source_extensions)
-    files = written(files.withColumn("language", name).withColumn("mode", fn.language_mode(F.col("language"))), "files")
-    parsed = written(parse_files(files.filter("mode = 'syntax'"), config.limits), "parsed")
-    text_files = files.filter(F.col("mode") == "text").filter(~fn.is_generated(F.col("content")))
+    marked = files.withColumn("language", name).withColumn("mode", fn.language_mode(F.col("language"))).withColumn("generated", fn.is_generated(F.col("content")))
+    files = written(marked, "files")
+    own = files.filter("NOT generated")
+    alone = {k: v for k, v in config.limits.items() if k != "maxDuplicationTokens"}  # counted over all files
+    parsed = written(parse_files(own.filter("mode = 'syntax'"), alone), "parsed")
+    fitting, ended = within_budgets(parsed, config.limits)
+    parsed = written(fitting, "fitting") if fitting is not parsed else parsed
+    if ended:
+        found.note("DEPENDENCY_LIMIT", "The limit of references over all files was reached.", None, "error")
+        aborted = True
+    text_files = own.filter("mode = 'text'")
+    found.skipped += files.filter("generated").count() + parsed.filter("generated").count()
     syntax = parsed.filter("valid AND NOT generated")
     analyzed = syntax.select(F.col("file").alias("path")).unionByName(text_files.select("path"))
     raw = explode(parsed, "dependencies")
-    total_edges = raw.count()
-    if total_edges > config.limits["maxDependencies"]:
-        found.note("DEPENDENCY_LIMIT", "More references in all than the limit.", None, "error")
-        aborted = True
     dependencies = written(resolve_references(spark, raw, syntax.select(F.col("file").alias("path")), configs), "dependencies")
     metrics = syntax.select("file", "lines").unionByName(text_files.select(F.col("path").alias("file"), fn.line_count(F.col("content")).alias("lines")))
     own_notes = explode(parsed, "diagnostics").drop("repo_id").unionByName(reference_diagnostics(dependencies))
@@ -431,7 +590,7 @@ def analyze(spark: SparkSession, root: str, files: DataFrame, found: tree.Discov
     early = len(found.diagnostics) + own_notes.count()
     syntax_count, text_count = syntax.count(), text_files.count()
     try:
-        project = read_project(read, found, sorted(r["file"] for r in syntax.select("file").toLocalIterator()), configs, config)
+        project = Project() if aborted else read_project(read, found, sorted(r["file"] for r in syntax.select("file").toLocalIterator()), configs, config)
     except InputError as error:
         found.note(error.code, error.message, None, "error")
         project, aborted = Project(), True
@@ -451,7 +610,8 @@ def analyze(spark: SparkSession, root: str, files: DataFrame, found: tree.Discov
     states = coverage.categories(
         syntax_files=syntax_count, text_files=text_count, entries=len(project.entries), manifests=project.manifests, early_diagnostics=bool(early),
         any_diagnostics=any_notes, uncertain=flags["uncertain"],
-        unknown_packages=tables["package_usage"].filter("state = 'unknown'").limit(1).count() > 0, duplication_complete=True,
+        unknown_packages=tables["package_usage"].filter("state = 'unknown'").limit(1).count() > 0,
+        duplication_complete=not own_notes.filter("code IN ('DUPLICATION_TOKEN_LIMIT', 'METRIC_LIMIT')").take(1),
         components_truncated=tables["components"].count() > config.limits["maxFindings"], aborted=aborted,
     )
     coverage_rows = spark.createDataFrame([(c, *states[c]) for c in CATEGORIES], "category STRING, status STRING, reason STRING")
@@ -467,7 +627,7 @@ def analyze(spark: SparkSession, root: str, files: DataFrame, found: tree.Discov
         "files": analyzed.orderBy("path"), "file_metrics": metrics.orderBy("file"), "functions": facts["functions"],
     }
     counters = {"discovered": len(found.files), "analyzed": syntax_count + text_count, "skipped": found.skipped, "bytes_read": files.agg(F.sum("bytes")).first()[0] or 0, "total_findings": total_findings}
-    limitations = LIMITATIONS + ([f"Only the scope was read: {', '.join(map(safe_text, config.scope))}."] if config.scope else [])
+    limitations = LIMITATIONS + ([TEXT_LIMITATION] if text_count else []) + ([f"Only the scope was read: {', '.join(map(safe_text, config.scope))}."] if config.scope else [])
     return Analysis(root, config, "partial" if any_notes or aborted else "complete", tables, states, counters, found.ignore_files, result.asDict(), limitations=limitations)
 
 

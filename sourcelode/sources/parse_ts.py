@@ -1,8 +1,9 @@
 """A lexer and shallow parser of TypeScript and JavaScript: references, functions, tokens, blocks.
 
 It finds what the facts need by looking at tokens and matching brackets; it builds no syntax tree. Syntax
-errors are those that show at that depth: open strings, comments, templates and brackets, and declarations
-or operators that lack an operand. Positions are lines from 1 and columns from 1 in UTF-16 units.
+errors are those that show at that depth: open strings, comments, templates and brackets, declarations or
+operators that lack an operand, and neighbours on one line that no statement, expression or type has side by
+side (two operands, a statement's keyword behind an operator, a condition without its bracket). Positions are lines from 1 and columns from 1 in UTF-16 units.
 """
 
 from __future__ import annotations
@@ -31,6 +32,22 @@ PAIRS = {")": "(", "]": "[", "}": "{"}
 BINARY = frozenset("* / % ** === !== == != && || ?? = += -= => ".split())
 
 
+# Words that may stand directly before a name, a string or a number: keywords, modifiers, and words with a meaning in place.
+LEADS = frozenset("""
+    abstract accessor as asserts async await of break case class const constructor continue declare default defer delete do else enum
+    export extends for from function get global implements import in infer instanceof interface is keyof let module namespace new of out
+    override package private protected public readonly require return satisfies set source static throw type typeof unique using var
+    void with yield
+""".split())
+# Words that may stand directly behind an operand.
+FOLLOWS = frozenset("as assert else extends from implements in instanceof is of satisfies while with".split())
+STATEMENTS = frozenset("break case catch const continue default do else export finally for if return switch throw try var while with".split())
+OPERATORS = frozenset("return throw typeof void delete new in instanceof case".split())
+CONDITIONS = frozenset("if while switch".split())
+NO_OPERAND = frozenset("* % ** === !== == != && || ?? = += -= *= /= %= **= <<= &= |= ^= &&= ||= ??= => <= , ; ) ] ? . ?. :".split())
+NEEDS_OPERAND = frozenset("% ** === !== == != && || ?? = += -= *= /= %= **= <<= &= |= ^= &&= ||= ??= <=".split())
+
+
 class SyntaxProblem(Exception):
     def __init__(self, position: int, message: str):
         super().__init__(message)
@@ -312,6 +329,39 @@ class Parser:
                 if not (token.text == "*" or (token.text == "=" and self.text(i - 1) == ">")):
                     raise SyntaxProblem(self.t[i + 1].start, "an expression is expected")
 
+        for i in range(len(self.t) - 1):
+            self.neighbours(i, self.t[i], self.t[i + 1])
+
+    def neighbours(self, i: int, token: Token, after: Token) -> None:
+        """Whether two tokens may follow each other. Only pairs that no construct has on one line are refused."""
+        operand = ("name", "number", "string")
+        if token.kind == "number" and after.kind in ("name", "number") and token.end == after.start:
+            raise SyntaxProblem(after.start, "a number ends in a name")
+        if token.kind == "punctuation" and token.text in NEEDS_OPERAND and after.kind == "punctuation" and after.text in NO_OPERAND:
+            if not (token.text == "=" and self.text(i - 1) == ">") and not (after.text == "*" and token.text == "="):
+                raise SyntaxProblem(after.start, "an expression is expected")
+        if token.kind not in operand or after.kind not in operand or LINE_END.search(self.s, token.end, after.start):
+            return
+        member = self.text(i - 1) in (".", "?.", "@") or self.decorates(i)
+        if token.kind == "name" and not member:
+            if token.text in OPERATORS and after.kind == "name" and after.text in STATEMENTS and self.text(i + 2) not in (":", "(", ".", "=", ";", ",", ")"):
+                raise SyntaxProblem(after.start, "an expression is expected")
+            if token.text in CONDITIONS:
+                raise SyntaxProblem(after.start, "'(' expected")
+            if token.text in ("const", "var") and after.kind != "name" or token.text == "function" and after.kind == "number":
+                raise SyntaxProblem(after.start, "a name is expected")
+            if token.text in LEADS:
+                return
+        if after.kind == "name" and after.text in FOLLOWS or member:
+            return
+        raise SyntaxProblem(after.start, "';' expected")
+
+    def decorates(self, i: int) -> bool:
+        """Whether a name is the last of a decorator's."""
+        while self.text(i - 1) == ".":
+            i -= 2
+        return self.text(i - 1) == "@"
+
     # --- scopes
 
     def ambient_ranges(self) -> list[tuple[int, int]]:

@@ -250,7 +250,8 @@ def _sorted(out: Discovery) -> Discovery:
 
 
 def read_files(spark: SparkSession, root: str, found: Discovery, config: Configuration, budget: Budget, repo_id: str = "") -> DataFrame:
-    """files(repo_id, path, content, bytes); what cannot be read goes to found.diagnostics. The walk and its
+    """files(repo_id, path, content, bytes); what cannot be read goes to found.diagnostics, and where the limit of
+    bytes in all ends it, the files before are kept. The walk and its
     limits (64 to 256 MB in all) belong to one tree on the driver's file system; trees that Spark can read
     itself, or any number of them, come in as such a table from elsewhere (read_tree_files)."""
     rows = []
@@ -261,9 +262,9 @@ def read_files(spark: SparkSession, root: str, found: Discovery, config: Configu
                 raise InputError("BINARY_SOURCE", "The file holds NUL characters.")
             rows.append((repo_id, path, content, len(content.encode())))
         except InputError as error:
-            if error.code == "TOTAL_BYTES_LIMIT":
-                raise
             found.note(error.code, error.message, path, "error")
+            if error.code == "TOTAL_BYTES_LIMIT":
+                break
         except OSError:
             found.note("READ_ERROR", "The file could not be read safely.", path, "error")
     return spark.createDataFrame(rows, FILES)

@@ -1,13 +1,16 @@
 """Whole scans of small trees."""
 
 import json
+import threading
+import time
 
 import pytest
 
 from sourcelode import report
 from sourcelode.cli import main
 from sourcelode.model import InputError
-from sourcelode.plans.scan import exit_code, scan
+from sourcelode.plans.scan import exit_code, parse_one, scan
+from sourcelode.sources import parse_ts
 
 
 def make(root, files):
@@ -68,6 +71,84 @@ def test_partial_coverage(spark, tmp_path):
     assert result.score["status"] == "partial" and result.score["value"] is None and result.score["observed_value"] == 95.0
 
 
+def chain(n):
+    return {f"f{i}.ts": f"import './f{i + 1}';\nexport function a{i}() {{ return {i}; }}\n" for i in range(n)} | {f"f{n}.ts": "export const end = 1;\n"}
+
+
+def limited(spark, tmp_path, files, **limits):
+    lines = "".join(f"  {k}: {v}\n" for k, v in limits.items())
+    return scan(spark, make(tmp_path, files | {".sourcelode.yml": f"limits:\n{lines}"}))
+
+
+def codes(result):
+    return sorted((r["code"], r["file"]) for r in result.tables["diagnostics"].collect())
+
+
+def test_references_that_do_not_fit_are_left_out(spark, tmp_path):
+    files = {"a.ts": "import './c';\n", "b.ts": "import './a';\nimport './c';\nimport './d';\n", "c.ts": "import './a';\n", "d.ts": "export const x = 1;\n"}
+    result = limited(spark, tmp_path, files, maxDependencies=3)
+    assert codes(result) == [("DEPENDENCY_LIMIT", "b.ts")] and result.status == "partial"
+    assert [r["path"] for r in result.tables["files"].collect()] == ["a.ts", "c.ts", "d.ts"]
+    assert [f["file"] for f in result.tables["findings"].collect() if f["rule_id"] == "runtime-cycle"] == ["a.ts"]
+
+
+def test_a_full_budget_of_references_ends_the_scan(spark, tmp_path):
+    result = limited(spark, tmp_path, chain(4), maxDependencies=2)
+    assert ("DEPENDENCY_LIMIT", None) in codes(result) and result.tables["findings"].count() == 0 and result.status == "partial"
+
+
+def test_functions_and_tokens_beyond_the_limits(spark, tmp_path):
+    result = limited(spark, tmp_path, chain(3), maxDuplicationTokens=20)
+    assert [c for c, _ in codes(result)] == ["DUPLICATION_TOKEN_LIMIT"] * 3 and result.category_coverage["duplication"][0] == "partial"
+    many = {"a.ts": "".join(f"function f{i}() {{}}\n" for i in range(7)), "b.ts": "function g() {}\n"}
+    result = limited(spark, tmp_path / "m", many, maxEntries=5)
+    assert codes(result) == [("METRIC_LIMIT", "a.ts"), ("METRIC_LIMIT", "b.ts")]
+    assert sorted(r["name"] for r in result.tables["functions"].collect()) == [f"f{i}" for i in range(5)]
+
+
+def test_bytes_read_before_the_limit_are_kept(spark, tmp_path):
+    result = limited(spark, tmp_path, {"a.ts": "x();\n", "b.ts": "y();\n" * 100, "c.ts": "z();\n"}, maxTotalBytes=200)
+    assert codes(result) == [("TOTAL_BYTES_LIMIT", "b.ts")] and [r["path"] for r in result.tables["files"].collect()] == ["a.ts"]
+    assert result.status == "partial"
+
+
+def test_generated_sources_are_skipped(spark, tmp_path):
+    files = {"a.ts": "// Code generated by protoc. DO NOT EDIT.\nimport './b';\n", "b.ts": "import './a';\n", "c.py": "# auto-generated\n", "d.ts": "/* @generated */ export {};\n"}
+    result = scan(spark, make(tmp_path, files))
+    assert [r["path"] for r in result.tables["files"].collect()] == ["b.ts"] and result.counters["skipped"] == 3
+    assert result.counters["discovered"] == 4 and not result.tables["findings"].filter("rule_id = 'runtime-cycle'").count()
+
+
+def test_text_files_are_unknown(spark, tmp_path):
+    result = scan(spark, make(tmp_path, {"index.ts": "export {};\n", "a.py": "x = 1\n"}))
+    usage = {r["file"]: (r["state"], r["confidence"]) for r in result.tables["file_usage"].collect()}
+    assert usage == {"index.ts": ("reachable", "CONFIRMED"), "a.py": ("unknown", "UNKNOWN")}
+    assert any("Other languages" in x for x in result.limitations)
+
+
+def test_deadline_and_cancellation(spark, tmp_path):
+    root = make(tmp_path, chain(3))
+    result = scan(spark, root, deadline_ms=1)
+    assert {c for c, _ in codes(result)} == {"SCAN_TIMEOUT"} and result.status == "partial" and result.tables["findings"].count() == 0
+    stop = threading.Event()
+    stop.set()
+    result = scan(spark, root, cancelled=stop)
+    assert [c for c, _ in codes(result)] == ["CANCELLED"] and exit_code(result) == 2
+    assert scan(spark, root).status == "complete"
+
+
+def test_a_slow_file_costs_its_own_rows(monkeypatch):
+    def slow(path, content, limits):
+        while content == "slow":
+            pass
+        return parse_ts.Parsed(lines=1)
+
+    monkeypatch.setattr(parse_ts, "parse", slow)
+    began = time.monotonic()
+    late, other = parse_one("a.ts", "slow", {"maxParseTimeMs": 200}), parse_one("b.ts", "fast", {"maxParseTimeMs": 200})
+    assert time.monotonic() - began < 5 and not late.valid and late.diagnostics[0]["code"] == "PARSE_TIMEOUT" and other.valid
+
+
 def test_command_line(spark, tmp_path, capsys):
     root = make(tmp_path, {".sourcelode.yml": "nonsense: 1", "a.ts": ""})
     assert main(["scan", root], spark) == 2 and "INVALID_CONFIG" in capsys.readouterr().err

@@ -338,3 +338,27 @@ def test_redaction():
     for secret in (key, long_id, "u:p", "abc.def", 'secret"', "xyz", "\u202e", "\x07"):
         assert secret not in safe
     assert "[U+202e][U+0007]" in safe and safe_text(safe) == safe and safe_text("plain words") == "plain words"
+
+
+@pytest.mark.parametrize("text", [
+    "const a = 1 2;", "return return", "import {a b} from 'x'", "if else", "var 1x = 2", "const x: number = = 3", "foo bar;", "a = b c", "x = 'a' 'b'",
+    "let y = 3 z", "while x {}", "const 5 = 1", "a && || b", "if x) {", "f(1 2)", "[a b]", "call('x' y)", "const s = 0x1G", "a ?? = b",
+])
+def test_invalid_statements(text):
+    parsed = parse("a.ts", f"import './b';\n{text}\n")
+    assert not parsed.valid and parsed.dependencies == [] and [d["code"] for d in parsed.diagnostics] == ["SYNTAX_ERROR"] and parsed.diagnostics[0]["line"] >= 2
+
+
+@pytest.mark.parametrize("text", [
+    "async function* f() { for await (const x of y) yield x; }", "type A = B extends infer U ? U : keyof typeof x;", "abstract class A<T extends B> extends C implements D, E { declare readonly a: string; static async *b() {} get c() { return 1 } set c(v) {} }",
+    "function isA(x: unknown): x is string { return typeof x === 'string' }", "function f(x): asserts x is T {}", "export default abstract class {}", "export as namespace Foo;", "import type { A } from 'a';", "import def, * as ns from 'b'",
+    "import json from './x.json' with { type: 'json' };", "declare module 'x' { export const a: 1 }", "declare global { interface Window { a: 1 } }", "label: while (true) { continue label }", "if (a) b(); else c();", "do x(); while (y)",
+    "const x = a as const, y = <T>b satisfies C;", "@Input() name: string;", "class A { @Input name: string; @a.b c = 1 }", "const f = async x => await x;", "x = a in b, y = a instanceof B;", "for (const k in o) if (k) break;", "let v = void 0, w = delete a.b, z = new A;",
+    "a\nb", "return\nreturn", "const o = { if: 1, while: 2, get: 3, async: 4, default: 5, get x() { return 1 }, async 'y'() {}, static: 1 };", "o.if = o.return; o?.while", "switch (x) { case 'a': case 1: return 2; default: throw new Error('x') }",
+    "const enum E { A = 1, B = A << 2 }", "type F = new (...a: any[]) => T; type G = abstract new () => T;", "let u: unique symbol; let r: readonly string[] = [];", "interface A { readonly a: 1; new (x: 1): A; (y: 2): B }", "namespace A.B { }", "import x = require('y');",
+    "function f(this: Window, ...args) {}", "const g = function* () { yield* h(); };", "x ||= 1; y ??= 2; z **= 3;", "const t = `a ${b} c` + tag`d`;", "type T1 = 1 extends 2 ? 'a' : 'b';", "let n = 1_000n, m = .5e-3, h = 0xFF, k = 1..toString();", "accessor;", "var type = 1, of = 2, as = 3; type = of;",
+    "class A<in out T, const U> {}", "using a = b;", "export { a as default, type B } from './x';", "export * as ns from 'y';", "let a: Array<Map<string, number>>= [];", "const f = <T,>(x: T) => x;", "if (a) return b\nelse return c", "try { a() } catch { b() } finally { c() }", "x = y ? -1 : +2", "enum A { B = 'x' }", "export = foo;", "let f: (a: 1) => void = () => {};",
+])
+def test_valid_statements(text):
+    parsed = parse("a.ts", text)
+    assert parsed.valid, parsed.diagnostics
