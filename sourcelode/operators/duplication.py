@@ -34,17 +34,25 @@ def verified_occurrences(files: DataFrame, candidates: DataFrame, groups: DataFr
 
 def block_sequences(tokens: DataFrame, blocks: DataFrame, min_tokens: int, min_lines: int) -> DataFrame:
     """tokens(file, idx, hash, line, column, end_line), blocks(file, start, end) -> each distinct block that is
-    large enough with the digest of its tokens' hashes. A file's tokens (at most maxDuplicationTokens) meet in
-    one array; blocks are slices of it."""
+    large enough with the digest of its tokens' hashes.
+
+    A file's tokens (at most maxDuplicationTokens) and its blocks meet in one row; digests are made inside it, so
+    tokens are never copied to their blocks, and only digests are exploded.
+    """
     listed = tokens.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("idx", "hash", "line", "column", "end_line"))).alias("t"))
-    sized = blocks.filter(F.col("end") - F.col("start") >= min_tokens).dropDuplicates(["file", "start", "end"])
-    part = F.slice("t", F.col("start") + 1, F.col("end") - F.col("start"))
-    first, last = F.get("t", F.col("start")), F.get("t", F.col("end") - 1)
-    out = sized.join(listed, "file").select(
-        "file", "start", "end", (F.col("end") - F.col("start")).alias("length"),
-        F.sha2(F.array_join(F.transform(part, lambda x: x["hash"]), ","), 256).alias("hash"),
-        first["line"].alias("line"), first["column"].alias("column"), last["end_line"].alias("end_line"),
-    )
+    sized = blocks.filter(F.col("end") - F.col("start") >= min_tokens)
+    asked = sized.groupBy("file").agg(F.collect_set(F.struct("start", "end")).alias("b"))
+
+    def digest(b):
+        part = F.slice("t", b["start"] + 1, b["end"] - b["start"])
+        first, last = F.get("t", b["start"]), F.get("t", b["end"] - 1)
+        return F.struct(
+            b["start"].alias("start"), b["end"].alias("end"), (b["end"] - b["start"]).alias("length"),
+            F.sha2(F.array_join(F.transform(part, lambda x: x["hash"]), ","), 256).alias("hash"),
+            first["line"].alias("line"), first["column"].alias("column"), last["end_line"].alias("end_line"),
+        )
+
+    out = asked.join(listed, "file").select("file", F.inline(F.transform("b", digest)))
     return out.filter(F.col("end_line") - F.col("line") + 1 >= min_lines)
 
 

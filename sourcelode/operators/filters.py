@@ -22,9 +22,12 @@ def scope_filter(paths: DataFrame, scopes: list[str], column: str = "path") -> D
 
 
 def empty_scopes(scopes: DataFrame, paths: DataFrame) -> DataFrame:
-    """Scopes (scope) without a file at or under them: every file offers itself and its directories."""
-    under = paths.select(F.explode(F.concat(F.array("path"), fn.ancestors(fn.dirname(F.col("path"))))).alias("scope"))
-    return scopes.join(under, "scope", "left_anti")
+    """Scopes (scope; literals of a configuration) without a file at or under them. A file's directories are held
+    against the scopes where the file lies, so only scopes that occur make rows."""
+    wanted = [r["scope"] for r in scopes.select("scope").distinct().collect()]  # at most as many as a configuration names
+    own = F.array_intersect(F.concat(F.array("path"), fn.ancestors(fn.dirname(F.col("path")))), F.array(*[F.lit(s) for s in wanted]) if wanted else F.array().cast("array<string>"))
+    met = paths.select(F.explode(own).alias("scope")).distinct()
+    return scopes.join(F.broadcast(met), "scope", "left_anti")
 
 
 def ignored_paths(paths: DataFrame, rules: DataFrame) -> DataFrame:

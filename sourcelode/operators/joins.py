@@ -21,10 +21,17 @@ def first_match(rows: DataFrame, key: list[str], candidates: str, targets: DataF
 
 
 def nearest_ancestor(rows: DataFrame, key: list[str], path: str, directories: DataFrame, name: str = "nearest") -> DataFrame:
-    """The deepest of directories(directory) that holds the path: ancestors are exploded, so it is an equi-join."""
-    listed = rows.select(*key, F.explode(fn.ancestors(fn.dirname(F.col(path)))).alias("directory"))
-    met = listed.join(directories.select("directory").distinct(), "directory")
-    return met.groupBy(*key).agg(F.max_by("directory", F.length("directory")).alias(name))
+    """The deepest of directories(directory) that holds the path: ancestors are exploded, so it is an equi-join.
+    The root, which holds every path, takes no part in it: whether it is listed is one value for all rows, and a
+    path right under it looks for a directory of its own that no table has."""
+    above = F.filter(fn.ancestors(fn.dirname(F.col(path))), lambda x: x != "")
+    nowhere = F.concat(F.lit("\0"), F.xxhash64(*key).cast("string"))
+    listed = rows.select(*key, F.explode(F.when(F.size(above) > 0, above).otherwise(F.array(nowhere))).alias("directory"))
+    named = directories.select("directory").distinct()
+    root = F.lit("" if named.filter("directory = ''").take(1) else None)
+    met = listed.join(named.withColumn("_hit", F.lit(True)), "directory", "left")
+    best = F.max_by(F.when(F.col("_hit"), F.col("directory")), F.when(F.col("_hit"), F.length("directory")))
+    return met.groupBy(*key).agg(F.coalesce(best, root).alias(name)).filter(F.col(name).isNotNull())
 
 
 def longest_prefix_owner(edges: DataFrame, key: list[str], declared: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions import redaction
 from ..functions import text as fn
 from ..operators import budgets, coverage, duplication, filters, graph, joins, rules, score
 from ..operators.common import running_total
+from ..sources import manifest
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -167,12 +168,15 @@ CONTEXT = f"""{DOCS}, r AS (SELECT file, lines, {ROLE} AS role FROM docs WHERE l
  x AS (SELECT *, least(greatest(lines / {FILE_LINES}.0 - 1, 0), 1) AS excess, {FACTOR} AS role_factor FROM r)"""
 
 
-def sized_with_roles(spark, d) -> DataFrame:
-    role = (
+def doc_role():
+    return (
         F.when(F.col("source").isin("src1", "src2"), "test").when(F.col("source") == "src3", "tooling")
         .when(F.col("source") == "src4", "migration").otherwise("application")
     )
-    sized = doc_files(spark, d).select("file", fn.line_count(F.col("text")).alias("lines"), role.alias("role"))
+
+
+def sized_with_roles(spark, d) -> DataFrame:
+    sized = doc_files(spark, d).select("file", fn.line_count(F.col("text")).alias("lines"), doc_role().alias("role"))
     return rules.size_context(sized.filter(F.col("lines") > FILE_LINES), F.lit(FILE_LINES))
 
 
@@ -264,6 +268,51 @@ def reference_extraction(spark, d):
     return page_links(spark, d)
 
 
+KINDED = f"""{HREFS}, dep AS (SELECT page_id, pos, CASE pos % 3 WHEN 0 THEN 'internal' WHEN 1 THEN 'external' ELSE 'unresolved' END AS resolution,
+ CASE WHEN pos % 2 = 0 THEN 'runtime' ELSE 'type-only' END AS kind, CASE WHEN pos % 3 = 0 THEN href END AS to_file FROM e)"""
+
+
+@query(f"WITH {KINDED} SELECT page_id, pos, to_file FROM dep WHERE resolution = 'internal' AND kind = 'runtime'")
+def runtime_edges(spark, d):
+    pos = F.col("pos")
+    resolution = F.when(pos % 3 == 0, "internal").when(pos % 3 == 1, "external").otherwise("unresolved")
+    links = page_links(spark, d).select("page_id", "pos", resolution.alias("resolution"), F.when(pos % 2 == 0, "runtime").otherwise("type-only").alias("kind"), F.when(pos % 3 == 0, F.col("href")).alias("to_file"))
+    return filters.runtime_edges(links).select("page_id", "pos", "to_file")
+
+
+@query(f"""WITH p AS (SELECT page_id, {PATH} AS path FROM pages), g(pattern, regex) AS (VALUES ('**/fr/*.html', '^(?:[^/]*/)*fr/[^/]*[.]html/$'), ('**/de/**', '^(?:[^/]*/)*de/(?:[^/]*/)*$'))
+ SELECT DISTINCT pattern, path FROM p, g WHERE regexp_matches(path || '/', regex)""")
+def glob_join(spark, d):
+    return joins.glob_join(["**/fr/*.html", "**/de/**"], page_paths(spark, d)).distinct()
+
+
+LOCAL = f"""{HREFS}, w AS (SELECT page_id, pos, regexp_replace(substr(href, 2), '[^A-Za-z]', '', 'g') AS t FROM e),
+ s AS (SELECT *, CASE pos % 4 WHEN 0 THEN './' || t WHEN 1 THEN '@lib/' || t WHEN 2 THEN t || '/sub' ELSE '../../' || t END AS specifier FROM w WHERE t <> ''),
+ known AS (SELECT DISTINCT t FROM w WHERE t <> '' AND len(t) % 2 = 0)"""
+
+
+@query(f"""WITH {LOCAL} SELECT page_id, s.pos, specifier,
+ CASE WHEN pos % 4 = 2 THEN 'external' WHEN pos % 4 < 2 AND known.t IS NOT NULL THEN 'internal' ELSE 'unresolved' END AS resolution,
+ CASE WHEN pos % 4 = 0 AND known.t IS NOT NULL THEN 'pages/' || s.t || '.ts' WHEN pos % 4 = 1 AND known.t IS NOT NULL THEN 'lib/' || s.t || '/index.ts' END AS to_file
+ FROM s LEFT JOIN known ON known.t = s.t""")
+def resolved_references(spark, d):
+    from ..sources.tsconfig import TSConfig
+    from .scan import resolve_references
+
+    word = F.regexp_replace(F.substr("href", F.lit(2)), "[^A-Za-z]", "")
+    links = page_links(spark, d).withColumn("t", word).filter("t != ''")
+    n = F.col("pos") % 4
+    spec = F.when(n == 0, F.concat(F.lit("./"), "t")).when(n == 1, F.concat(F.lit("@lib/"), "t")).when(n == 2, F.concat("t", F.lit("/sub"))).otherwise(F.concat(F.lit("../../"), "t"))
+    edges = links.select(
+        "page_id", "pos", F.concat(F.lit("pages/p"), F.col("page_id").cast("string"), F.lit(".ts")).alias("from_file"), F.lit(1).alias("line"), F.lit(1).alias("column"),
+        spec.alias("specifier"), F.lit("runtime").alias("kind"), F.lit("import").alias("syntax"), F.lit("unresolved").alias("resolution"), F.lit(None).cast("string").alias("to_file"), F.lit(None).cast("string").alias("reason"),
+    )
+    known = links.filter(F.length("t") % 2 == 0).select("t").distinct()
+    files = known.select(F.concat(F.lit("pages/"), "t", F.lit(".ts")).alias("path")).unionByName(known.select(F.concat(F.lit("lib/"), "t", F.lit("/index.ts")).alias("path")))
+    configs = [TSConfig("pages", aliases=[("@lib/*", ["lib/*"], ["../lib/*"])])]
+    return resolve_references(spark, edges, files, configs).select("page_id", "pos", "specifier", "resolution", "to_file")
+
+
 @query(f"""WITH {HREFS}, t AS (SELECT DISTINCT 'en/' || substr(href, 2) AS path FROM e WHERE NOT regexp_matches(href, '[.,]$')
  UNION SELECT DISTINCT 'fr/' || substr(href, 2) FROM e WHERE regexp_matches(href, '^/[A-Z]'))
  SELECT e.page_id, e.pos, coalesce(max(CASE WHEN t.path = 'fr/' || substr(href, 2) THEN t.path END), max(CASE WHEN t.path = 'en/' || substr(href, 2) THEN t.path END)) AS to_file
@@ -375,6 +424,15 @@ def file_usage(spark, d):
     return graph.file_usage(files, reached, True, False).select("file", "state", "confidence")
 
 
+@query(f"""{PATHS}, r AS (SELECT s AS node FROM {SEED} UNION SELECT b FROM path, {SEED} WHERE a = s)
+ SELECT 'potentially-unused-file' AS rule_id, CAST(n_nationkey AS VARCHAR) AS file, 'LIKELY' AS confidence FROM nation WHERE n_nationkey NOT IN (SELECT node FROM r)""")
+def unused_files(spark, d):
+    edges = trade_edges(spark, d)
+    reached = graph.reachable(edges, edges.agg(F.min("from_file").alias("node"))).select(F.col("node").cast("string").alias("node"))
+    files = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("path"))
+    return rules.unused_files(graph.file_usage(files, reached, True, False), 1).select("rule_id", "file", "confidence")
+
+
 @query(f"{PATHS} SELECT a, b FROM path")
 def transitive_closure(spark, d):
     return graph.closure(trade_edges(spark, d))
@@ -396,12 +454,30 @@ def runtime_cycles(spark, d):
     return found.select("rule_id", "file", F.array_join("related_files", ",").alias("members"))
 
 
-@query()
+@query(f"""{PATHS}, p2 AS (SELECT CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b FROM path),
+ m AS (SELECT p.a, min(p.b) AS start FROM p2 p JOIN p2 q ON p.a = q.b AND p.b = q.a GROUP BY p.a),
+ ce AS (SELECT m.start, m.a, n.a AS b FROM edge e JOIN m ON m.a = CAST(e.a AS VARCHAR) JOIN m n ON n.a = CAST(e.b AS VARCHAR) AND n.start = m.start),
+ head AS (SELECT start, min(b) AS f FROM ce WHERE a = start GROUP BY start),
+ dist(start, node, n) AS (SELECT start, f, 0 FROM head UNION SELECT d.start, c.b, d.n + 1 FROM dist d JOIN ce c ON c.start = d.start AND c.a = d.node WHERE d.n < 26 AND d.node <> d.start),
+ least AS (SELECT start, min(n) AS n FROM dist WHERE node = start GROUP BY start),
+ walk(start, node, route) AS (SELECT start, f, [f] FROM head UNION ALL
+  SELECT w.start, c.b, list_append(w.route, c.b) FROM walk w JOIN ce c ON c.start = w.start AND c.a = w.node JOIN least l ON l.start = w.start WHERE len(w.route) - 1 < l.n),
+ best AS (SELECT w.start, min(list_prepend(w.start, w.route)) AS route FROM walk w JOIN least l ON l.start = w.start WHERE w.node = w.start AND len(w.route) - 1 = l.n GROUP BY w.start),
+ s AS (SELECT start, route, unnest(range(len(route) - 1)) AS step FROM best)
+ SELECT start AS file, CAST(step AS INT) AS step, route[step + 1] AS from_file, route[step + 2] AS to_file FROM s""")
 def cycle_evidence(spark, d):
     found = rules.cycle_findings(graph.strong_components(trade_graph(spark, d)))
     return found.select("file", F.posexplode("evidence").alias("step", "e")).select("file", "step", "e.from_file", "e.to_file")
 
 
+@query(f"""{PATHS}, p2 AS (SELECT CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b FROM path),
+ m AS (SELECT p.a, min(p.b) AS start FROM p2 p JOIN p2 q ON p.a = q.b AND p.b = q.a GROUP BY p.a), c AS (SELECT start, count(*) AS size FROM m GROUP BY start)
+ SELECT start, CAST(size AS INT) AS size, (SELECT count(*) FROM c) > 1 AS truncated FROM c ORDER BY start LIMIT 1""")
+def capped_cycles(spark, d):
+    """The first component by its smallest member, and whether there are more: the cap is the operator."""
+    return graph.capped_components(graph.strong_components(trade_graph(spark, d)), 1).select("start", "size", "truncated")
+
+
 @query(f"""WITH RECURSIVE {TRADE}, walk(s, b, n) AS (SELECT a, b, 1 FROM edge UNION SELECT s, e.b, n + 1 FROM walk JOIN edge e ON walk.b = e.a WHERE n < 26)
  SELECT CAST(s AS VARCHAR) AS node, min(n) AS length FROM walk WHERE s = b GROUP BY s""")
 def shortest_cycle_length(spark, d):
@@ -433,38 +509,39 @@ def unused_packages(spark, d):
     return rules.unused_packages(package_states(spark, d)).select("subject", "confidence")
 
 
-@query("""SELECT event_id, 'k' AS name, json_extract_string(props, '$.k') AS range FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
-def manifest_sections_flatten(spark, d):
-    flat = F.explode(F.from_json("props", "map<string,string>"))
-    return table(spark, d, "events").select("event_id", flat.alias("name", "range"))
+def user_manifests(spark, d) -> DataFrame:
+    """A package.json a user: event types are packages, declared for use, for development or both; a script by event."""
+    rows = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
+    pairs = lambda when: F.map_from_entries(F.collect_list(F.when(when, F.struct("event_type", F.lit("1")))))
+    name, first = F.concat(F.lit("run-"), "event_type"), F.col("first").cast("string")
+    script = F.concat(F.lit("node src/e"), first, F.lit(".js; "), "event_type", F.lit(" lib/x"), first, F.lit(".ts"))
+    per = rows.groupBy("user_id").agg(
+        pairs(F.col("first") % 2 == 0).alias("dependencies"), pairs(F.col("first") % 3 == 0).alias("devDependencies"),
+        F.map_from_entries(F.collect_list(F.struct(name, script))).alias("scripts"),
+    )
+    path = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/package.json"))
+    return per.select(F.lit("users").alias("repo_id"), path.alias("path"), F.to_json(F.struct("dependencies", "devDependencies", "scripts")).alias("content"))
 
 
-@query("""SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS sections, count(*) AS n FROM events GROUP BY user_id""")
-def package_sections(spark, d):
-    per = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list("event_type")), ",").alias("sections"), F.sum("n").alias("n"))
+USERS = "u AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY user_id, event_type)"
 
 
-# --- redaction, escaping -----------------------------------------------------------------------------------
+@query(f"""WITH {USERS} SELECT 'u' || user_id || '/package.json' AS manifest, event_type AS name,
+ concat_ws(',', CASE WHEN first % 2 = 0 THEN 'dependencies' END, CASE WHEN first % 3 = 0 THEN 'devDependencies' END) AS sections FROM u WHERE first % 2 = 0 OR first % 3 = 0""")
+def manifest_packages(spark, d):
+    found = manifest.manifest_facts(user_manifests(spark, d)).select("manifest", F.inline("packages"))
+    return found.select("manifest", "name", F.array_join("sections", ",").alias("sections"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:password|token|api[_-]?key|secret) = "([^"]*)"', 1)) AS v FROM documents)
- SELECT doc_id, v <> '' AS found, '[redacted:' || left(sha256(v), 12) || ']' AS mark FROM m""")
-def secret_redaction_digest(spark, d):
-    values = F.regexp_extract_all("text", F.lit('(?i)(?:password|token|api[_-]?key|secret) = "([^"]*)"'), F.lit(1))
-    found = table(spark, d, "documents").select("doc_id", F.explode(values).alias("v"))
-    return found.select("doc_id", (F.col("v") != "").alias("found"), F.concat(F.lit("[redacted:"), F.substring(F.sha2("v", 256), 1, 12), F.lit("]")).alias("mark"))
+@query(f"""WITH {USERS} SELECT 'u' || user_id || '/package.json' AS manifest, 'run-' || event_type AS script, 'src/e' || first || '.js' AS target, true AS required, 'tooling' AS purpose FROM u
+ UNION ALL SELECT 'u' || user_id || '/package.json', 'run-' || event_type, 'lib/x' || first || '.ts', false, 'tooling' FROM u""")
+def script_entries(spark, d):
+    return manifest.manifest_facts(user_manifests(spark, d)).select("manifest", F.inline("entries"))
 
 
-@query()
-def redacted_texts(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", redaction.safe_text_udf(F.col("text")).alias("text"))
-
-
-@query("""SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS escaped FROM pages""")
-def html_escape(spark, d):
-    return table(spark, d, "pages").select("page_id", F.md5(fn.html_escape(F.col("html"))).alias("escaped"))
+@query(f"""WITH {USERS} SELECT 'u' || user_id || '/package.json' AS manifest, 'run-' || event_type AS script, event_type AS name FROM u WHERE first % 2 = 0 OR first % 3 = 0""")
+def script_tools(spark, d):
+    return manifest.manifest_facts(user_manifests(spark, d)).select("manifest", F.inline("tools"))
 
 
 # --- penalties ---------------------------------------------------------------------------------------------
@@ -556,6 +633,46 @@ def view_filter(spark, d):
     return filters.view(labelled_findings(spark, d), "dead-code").groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+CONTEXTS = f"""{LABELLED}, {DOCS}, x AS (SELECT f.doc_id, f.rule_id, {ROLE.replace("source", "f.source")} AS role, lines FROM f JOIN docs USING (doc_id)),
+ y AS (SELECT *, least(greatest(lines / {FILE_LINES}.0 - 1, 0), 1) AS excess, {FACTOR} AS role_factor FROM x)
+ SELECT doc_id, rule_id, role, CAST(round(CAST(CASE WHEN rule_id = 'oversized-file' THEN excess * role_factor
+  WHEN (rule_id = 'duplicate-block' AND role = 'test') OR (rule_id = 'potentially-unused-file' AND role = 'tooling') THEN 0.5 ELSE 1.0 END AS DOUBLE), 6) AS DOUBLE) AS factor,
+  CASE WHEN rule_id = 'oversized-file' AND (role = 'migration' OR excess <= 0.2 OR (role_factor < 1 AND lines < {FILE_LINES * 4})) THEN 'info' ELSE 'warning' END AS severity FROM y"""
+
+
+# --- redaction, escaping -----------------------------------------------------------------------------------
+
+
+@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:password|token|api[_-]?key|secret) = "([^"]*)"', 1)) AS v FROM documents)
+ SELECT doc_id, v <> '' AS found, '[redacted:' || left(sha256(v), 12) || ']' AS mark FROM m""")
+def secret_redaction_digest(spark, d):
+    values = F.regexp_extract_all("text", F.lit('(?i)(?:password|token|api[_-]?key|secret) = "([^"]*)"'), F.lit(1))
+    found = table(spark, d, "documents").select("doc_id", F.explode(values).alias("v"))
+    safe = redaction.safe_text_udf(F.concat(F.lit('secret = "'), "v", F.lit('"')))
+    return found.select("doc_id", (F.col("v") != "").alias("found"), F.regexp_extract(safe, '"(.*)"$', 1).alias("mark"))
+
+
+@query(f"WITH {CONTEXTS}")
+def contextualized_findings(spark, d):
+    docs = doc_files(spark, d)
+    f = labelled_findings(spark, d).withColumn("line", F.lit(None).cast("int")).withColumn("severity", F.lit("warning")).withColumn("recommendation", F.lit("Look at it."))
+    f = f.withColumn("evidence", F.array(F.struct(F.lit(1).alias("column")))).drop("context_factor")
+    lines = docs.select(F.lit("oversized-file").alias("rule_id"), "file", F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column"), fn.line_count(F.col("text")).alias("lines"))
+    found = rules.contextualized(f, docs.select("file", doc_role().alias("role")), lines, FILE_LINES, FILE_LINES)
+    return found.select("doc_id", "rule_id", "context.role", "context.factor", "severity")
+
+
+@query()
+def redacted_texts(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", redaction.safe_text_udf(F.col("text")).alias("text"))
+
+
+@query("""SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS escaped FROM pages""")
+def html_escape(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(fn.html_escape(F.col("html"))).alias("escaped"))
+
+
 # --- budgets, diagnostics, coverage ------------------------------------------------------------------------
 
 
@@ -599,7 +716,12 @@ def uncertainty(spark, d):
     return filters.is_uncertain(table(spark, d, "events").select(resolution.alias("resolution")))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT source, doc_id, strlen(text) AS bytes, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+ f(source, n, doc_id, bytes, before, used) AS (
+  SELECT source, n, doc_id, bytes, 0::BIGINT, CASE WHEN bytes <= 20000 THEN bytes ELSE 0 END::BIGINT FROM r WHERE n = 1
+  UNION ALL SELECT r.source, r.n, r.doc_id, r.bytes, f.used, (f.used + CASE WHEN f.used < 20000 AND f.used + r.bytes <= 20000 THEN r.bytes ELSE 0 END)::BIGINT
+  FROM f JOIN r ON r.source = f.source AND r.n = f.n + 1)
+ SELECT source, doc_id, bytes, before, before < 20000 AND before + bytes <= 20000 AS within FROM f""")
 def dependency_budget(spark, d):
     """A fold: what would overflow its source's budget is left out, and later, smaller texts may still fit."""
     files = table(spark, d, "documents").select("source", "doc_id", F.octet_length("text").alias("bytes"))
@@ -627,6 +749,47 @@ def parsed_references(spark, d):
     return edges.select(F.col("from_file").alias("file"), "line", "specifier", "kind")
 
 
+KINDS = {  # statement around a specifier -> (kind, syntax)
+    "import type {{ T }} from {};": ("type-only", "import"), "export * from {};": ("runtime", "re-export"), "const a = require({});": ("runtime", "require"),
+    "import({});": ("runtime", "dynamic-import"), "type A = import({});": ("type-only", "import-type"), "import b = require({});": ("runtime", "require"),
+}
+
+
+@query(f"""WITH {HREFS}, k(n, kind, syntax) AS (VALUES {', '.join(f"({i}, '{kind}', '{syntax}')" for i, (kind, syntax) in enumerate(KINDS.values()))})
+ SELECT 'page' || page_id || '.ts' AS file, pos + 1 AS line, '.' || href AS specifier, kind, syntax FROM e JOIN k ON n = pos % {len(KINDS)}""")
+def parsed_reference_kinds(spark, d):
+    def statement(x, i):
+        out = F.lit("")
+        for n, shape in enumerate(KINDS):
+            head, tail = shape.format("|").split("|")
+            out = F.when(i % len(KINDS) == n, F.concat(F.lit(head + "'."), x, F.lit("'" + tail))).otherwise(out)
+        return out
+
+    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    text = F.array_join(F.transform(links, statement), "\n")
+    pages = table(spark, d, "pages").select(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".ts")).alias("path"), text.alias("content"))
+    edges = parsed_sources(pages).select(F.inline("dependencies"))
+    return edges.select(F.col("from_file").alias("file"), "line", "specifier", "kind", "syntax")
+
+
+@query("""SELECT 'c' || conv_id || '_' || turn || '.ts' AS file, CASE turn % 4 WHEN 0 THEN role || turn WHEN 1 THEN role || turn WHEN 2 THEN 'method' || turn ELSE '(anonymous/computed)' END AS name,
+ 1 AS line, 3 AS lines FROM conversations""")
+def parsed_function_kinds(spark, d):
+    """Arrows bound to a name, generators, methods, and callbacks."""
+    turns, n = table(spark, d, "conversations"), F.col("turn") % 4
+    turn, body = F.col("turn").cast("string"), F.lit(" {\n  step();\n}")
+    name = F.concat("role", turn)
+    source = (
+        F.when(n == 0, F.concat(F.lit("const "), name, F.lit(" = async (x: number): Promise<void> =>"), body, F.lit(";\n")))
+        .when(n == 1, F.concat(F.lit("export function* "), name, F.lit("()"), body, F.lit("\n")))
+        .when(n == 2, F.concat(F.lit("class A { static method"), turn, F.lit("(y: string): void"), body, F.lit(" }\n")))
+        .otherwise(F.concat(F.lit("run(function ()"), body, F.lit(");\n")))
+    )
+    path = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), turn, F.lit(".ts"))
+    found = parsed_sources(turns.select(path.alias("path"), source.alias("content"))).select(F.inline("functions"))
+    return found.select("file", "name", "line", "lines")
+
+
 @query(f"""WITH t AS (SELECT conv_id, turn, role, {LINES} AS lines FROM conversations)
  SELECT 'c' || conv_id || '_' || turn || '.ts' AS file, role || turn AS name, lines + 2 AS lines FROM t""")
 def parsed_functions(spark, d):
