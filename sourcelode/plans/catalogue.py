@@ -297,20 +297,20 @@ LOCAL = f"""{HREFS}, w AS (SELECT page_id, pos, regexp_replace(substr(href, 2),
  FROM s LEFT JOIN known ON known.t = s.t""")
 def resolved_references(spark, d):
     from ..sources.tsconfig import TSConfig
-    from .scan import resolve_references
+    from .scan import configuration_table, resolve_references
 
     word = F.regexp_replace(F.substr("href", F.lit(2)), "[^A-Za-z]", "")
     links = page_links(spark, d).withColumn("t", word).filter("t != ''")
     n = F.col("pos") % 4
     spec = F.when(n == 0, F.concat(F.lit("./"), "t")).when(n == 1, F.concat(F.lit("@lib/"), "t")).when(n == 2, F.concat("t", F.lit("/sub"))).otherwise(F.concat(F.lit("../../"), "t"))
     edges = links.select(
-        "page_id", "pos", F.concat(F.lit("pages/p"), F.col("page_id").cast("string"), F.lit(".ts")).alias("from_file"), F.lit(1).alias("line"), F.lit(1).alias("column"),
+        F.lit("site").alias("repo_id"), "page_id", "pos", F.concat(F.lit("pages/p"), F.col("page_id").cast("string"), F.lit(".ts")).alias("from_file"), F.lit(1).alias("line"), F.lit(1).alias("column"),
         spec.alias("specifier"), F.lit("runtime").alias("kind"), F.lit("import").alias("syntax"), F.lit("unresolved").alias("resolution"), F.lit(None).cast("string").alias("to_file"), F.lit(None).cast("string").alias("reason"),
     )
     known = links.filter(F.length("t") % 2 == 0).select("t").distinct()
     files = known.select(F.concat(F.lit("pages/"), "t", F.lit(".ts")).alias("path")).unionByName(known.select(F.concat(F.lit("lib/"), "t", F.lit("/index.ts")).alias("path")))
-    configs = [TSConfig("pages", aliases=[("@lib/*", ["lib/*"], ["../lib/*"])])]
-    return resolve_references(spark, edges, files, configs).select("page_id", "pos", "specifier", "resolution", "to_file")
+    configs = configuration_table(spark, {"site": [TSConfig("pages", aliases=[("@lib/*", ["lib/*"], ["../lib/*"])])]})
+    return resolve_references(edges, files.withColumn("repo_id", F.lit("site")), configs).select("page_id", "pos", "specifier", "resolution", "to_file")
 
 
 @query(f"""WITH {HREFS}, t AS (SELECT DISTINCT 'en/' || substr(href, 2) AS path FROM e WHERE NOT regexp_matches(href, '[.,]$')

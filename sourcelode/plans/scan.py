@@ -162,25 +162,31 @@ def explode(parsed: DataFrame, column: str) -> DataFrame:
 # --- references --------------------------------------------------------------------------------------------
 
 
-def with_configurations(spark: SparkSession, dependencies: DataFrame, configs: list[TSConfig]) -> DataFrame:
-    """Adds base, aliases and supported of the nearest configuration above the importing file (null: none)."""
-    schema = "directory STRING, base STRING, supported BOOLEAN, aliases ARRAY<STRUCT<pattern: STRING, targets: ARRAY<STRING>>>"
-    rows = [(c.directory, c.base, c.supported, [(p, t) for p, t, _ in c.aliases]) for c in configs]
-    table = spark.createDataFrame(rows, schema)
-    directories = dependencies.select("from_file").distinct().select("from_file", fn.ancestors(fn.dirname(F.col("from_file"))).alias("above"))
-    met = directories.select("from_file", F.explode("above").alias("directory")).join(table, "directory")
-    nearest = met.groupBy("from_file").agg(F.max_by(F.struct("base", "supported", "aliases"), F.length("directory")).alias("config"))
-    return dependencies.join(nearest, "from_file", "left")
+def configuration_table(spark: SparkSession, configs: dict[str, list[TSConfig]]) -> DataFrame:
+    """The configurations of each repository as rows."""
+    schema = "repo_id STRING, directory STRING, base STRING, supported BOOLEAN, aliases ARRAY<STRUCT<pattern: STRING, targets: ARRAY<STRING>>>"
+    rows = [(repo, c.directory, c.base, c.supported, [(p, t) for p, t, _ in c.aliases]) for repo, own in configs.items() for c in own]
+    return spark.createDataFrame(rows, schema)
 
 
-def resolve_references(spark: SparkSession, dependencies: DataFrame, files: DataFrame, configs: list[TSConfig]) -> DataFrame:
-    """resolution, to_file and reason of each reference that is not indeterminate.
+def with_configurations(dependencies: DataFrame, configs: DataFrame) -> DataFrame:
+    """Adds base, aliases and supported of the nearest configuration above the importing file in its repository
+    (null: none)."""
+    directories = dependencies.select("repo_id", "from_file").distinct().select("repo_id", "from_file", fn.ancestors(fn.dirname(F.col("from_file"))).alias("above"))
+    met = directories.select("repo_id", "from_file", F.explode("above").alias("directory")).join(configs, ["repo_id", "directory"])
+    nearest = met.groupBy("repo_id", "from_file").agg(F.max_by(F.struct("base", "supported", "aliases"), F.length("directory")).alias("config"))
+    return dependencies.join(nearest, ["repo_id", "from_file"], "left")
+
+
+def resolve_references(dependencies: DataFrame, files: DataFrame, configs: DataFrame) -> DataFrame:
+    """resolution, to_file and reason of each reference that is not indeterminate: dependencies(repo_id, from_file,
+    specifier, ...), files(repo_id, path), configuration_table(). Each repository sees its own files alone.
 
     Candidates are made by columns (a cascade of cases), exploded in order and met with the files by an
     equi-join; the first that exists wins.
     """
     spec = F.col("specifier")
-    rows = with_configurations(spark, dependencies, configs).withColumn("_id", F.monotonically_increasing_id())
+    rows = with_configurations(dependencies, configs).withColumn("_id", F.monotonically_increasing_id())
 
     def fits(a):
         at = F.instr(a["pattern"], "*")
@@ -218,8 +224,8 @@ def resolve_references(spark: SparkSession, dependencies: DataFrame, files: Data
     rows = rows.withColumn("_local", relative | F.col("_alias").isNotNull()).withColumn("_bases", F.when(reason.isNull(), bases)).withColumn("_reason", reason)
     escapes = F.exists("_bases", lambda b: b.isNull())
     rows = rows.withColumn("_reason", F.when(F.coalesce(escapes, F.lit(False)), "A local reference leaves the root.").otherwise(F.col("_reason")))
-    listed = rows.filter("_reason IS NULL AND _bases IS NOT NULL").select("_id", F.posexplode(F.flatten(F.transform("_bases", fn.candidate_paths))).alias("_pos", "path"))
-    found = listed.join(files.select("path").distinct(), "path").groupBy("_id").agg(F.min_by("path", "_pos").alias("_found"))
+    listed = rows.filter("_reason IS NULL AND _bases IS NOT NULL").select("_id", "repo_id", F.posexplode(F.flatten(F.transform("_bases", fn.candidate_paths))).alias("_pos", "path"))
+    found = listed.join(files.select("repo_id", "path").distinct(), ["repo_id", "path"]).groupBy("_id").agg(F.min_by("path", "_pos").alias("_found"))
     rows = rows.join(found, "_id", "left")
     open_ = F.col("resolution") == "indeterminate"
     missing = F.when(F.col("_reason").isNotNull(), F.col("_reason")).when(F.col("_local") & F.col("_found").isNull(), "The local file is missing, excluded or of an unsupported format.")
@@ -579,7 +585,7 @@ def analyze(spark: SparkSession, root: str, files: DataFrame, found: tree.Discov
     syntax = parsed.filter("valid AND NOT generated")
     analyzed = syntax.select(F.col("file").alias("path")).unionByName(text_files.select("path"))
     raw = explode(parsed, "dependencies")
-    dependencies = written(resolve_references(spark, raw, syntax.select(F.col("file").alias("path")), configs), "dependencies")
+    dependencies = written(resolve_references(raw, syntax.select("repo_id", F.col("file").alias("path")), configuration_table(spark, {"": configs})), "dependencies")
     metrics = syntax.select("file", "lines").unionByName(text_files.select(F.col("path").alias("file"), fn.line_count(F.col("content")).alias("lines")))
     own_notes = explode(parsed, "diagnostics").drop("repo_id").unionByName(reference_diagnostics(dependencies))
     facts = {

@@ -5,12 +5,15 @@ import threading
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from sourcelode import report
 from sourcelode.cli import main
-from sourcelode.model import InputError
-from sourcelode.plans.scan import exit_code, parse_one, scan
-from sourcelode.sources import parse_ts
+from sourcelode.model import Configuration, InputError
+from sourcelode.operators import filters, graph
+from sourcelode.plans.scan import configuration_table, exit_code, explode, parse_files, parse_one, resolve_references, scan, within_budgets
+from sourcelode.sources import manifest, parse_ts
+from sourcelode.sources.tsconfig import TSConfig
 
 
 def make(root, files):
@@ -137,6 +140,29 @@ def test_deadline_and_cancellation(spark, tmp_path):
     assert scan(spark, root).status == "complete"
 
 
+def test_repositories_with_equal_paths_do_not_mix(spark):
+    """Two trees in one table of files: references, cycles, budgets and manifests stay within each."""
+    rows = [
+        ("one", "a.ts", "import './b';\nimport '@x/lib';\n"), ("one", "b.ts", "import './a';\n"), ("one", "lib.ts", ""),
+        ("two", "a.ts", "import './b';\nimport '@x/lib';\n"), ("two", "lib/index.ts", ""), ("two", "z.ts", "import './a';\nimport './lib';\nimport './lib';\n"),
+    ]
+    files = spark.createDataFrame([(r, p, c, len(c)) for r, p, c in rows], "repo_id STRING, path STRING, content STRING, bytes LONG")
+    limits = Configuration().limits | {"maxDependencies": 4}
+    parsed, ended = within_budgets(parse_files(files, limits), limits)
+    assert not ended and [(r["repo_id"], r["file"]) for r in parsed.filter("NOT valid").collect()] == [("two", "z.ts")]
+    configs = configuration_table(spark, {r: [TSConfig("", aliases=[("@x/*", ["*"], ["*"])])] for r in ("one", "two")})
+    edges = resolve_references(explode(parsed, "dependencies"), parsed.filter("valid").select("repo_id", F.col("file").alias("path")), configs)
+    found = {(r["repo_id"], r["from_file"], r["specifier"]): r["to_file"] for r in edges.collect()}
+    assert found == {
+        ("one", "a.ts", "./b"): "b.ts", ("one", "a.ts", "@x/lib"): "lib.ts", ("one", "b.ts", "./a"): "a.ts",
+        ("two", "a.ts", "./b"): None, ("two", "a.ts", "@x/lib"): "lib/index.ts",
+    }
+    cycles = graph.strong_components(filters.runtime_edges(edges)).collect()
+    assert [(c["repo_id"], c["members"]) for c in cycles] == [("one", ["a.ts", "b.ts"])]
+    packages = spark.createDataFrame([(r, "package.json", json.dumps({"dependencies": {n: "1"}})) for r, n in (("one", "p"), ("two", "q"))], "repo_id STRING, path STRING, content STRING")
+    assert sorted((r["repo_id"], r["packages"][0]["name"]) for r in manifest.manifest_facts(packages).collect()) == [("one", "p"), ("two", "q")]
+
+
 def test_a_slow_file_costs_its_own_rows(monkeypatch):
     def slow(path, content, limits):
         while content == "slow":
