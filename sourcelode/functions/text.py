@@ -19,6 +19,7 @@ LANGUAGES = {
     "HTML": "html htm", "CSS": "css scss sass less", "Protocol Buffers": "proto", "Terraform": "tf hcl", "Zig": "zig",
     "OCaml": "ml mli", "Clojure": "clj cljs cljc", "F#": "fs fsx", "Bazel": "bzl", "Solidity": "sol", "Assembly": "s asm",
 }
+# Files without a suffix, and the languages that are parsed.
 BAZEL_FILES = ("BUILD", "BUILD.bazel", "WORKSPACE", "WORKSPACE.bazel")
 SYNTAX_LANGUAGES = ("TypeScript", "JavaScript")
 # Modules that come with the JavaScript runtime.
@@ -30,8 +31,8 @@ BUILTIN_MODULES = (
     "wasi worker_threads zlib"
 ).split()
 BUILTIN_ONLY_PREFIXED = ("node:sea", "node:sqlite", "node:test", "node:test/reporters")
+# Suffixes of sources, what a written one can stand for in order of preference, and marks of generated files.
 SOURCE_SUFFIXES = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
-# What a written suffix can stand for, in order of preference.
 SUFFIX_SOURCES = {".js": (".ts", ".tsx", ".js", ".jsx"), ".mjs": (".mts", ".mjs"), ".cjs": (".cts", ".cjs"), ".jsx": (".tsx", ".jsx")}
 LINE_END = r"\r\n|[\r\n\x{2028}\x{2029}]"
 GENERATED = (
@@ -80,9 +81,6 @@ def is_generated(text: Column) -> Column:
     return F.exists(F.split(F.substring(text, 1, 1024), r"\r?\n"), lambda line: line.rlike(GENERATED))
 
 
-def is_binary(text: Column) -> Column:
-    return F.contains(text, F.lit("\0"))
-
 
 def fingerprint(text: Column) -> Column:
     return F.sha2(text, 256)
@@ -112,15 +110,6 @@ def candidate_paths(base: Column) -> Column:
     return F.concat(swapped, F.array(base, *tail, *index))
 
 
-def normalized_path(path: Column) -> Column:
-    """Without '.' and empty segments, '..' taken back; null if it would leave the root."""
-
-    def step(done, part):
-        up = F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.size(done) - 1))
-        return F.when(part.isin("", "."), done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
-
-    return F.concat_ws("/", F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)).alias("path")
-
 
 def resolved_path(importer: Column, specifier: Column) -> Column:
     joined = F.concat_ws("/", dirname(importer), specifier)
@@ -135,10 +124,6 @@ def resolved_path(importer: Column, specifier: Column) -> Column:
     return F.when(parts.isNotNull(), F.array_join(parts, "/"))
 
 
-def inside_root(path: Column, root: Column) -> Column:
-    """By segments, not by characters."""
-    return (root == "") | (path == root) | path.startswith(F.concat(root, F.lit("/")))
-
 
 def ancestors(directory: Column) -> Column:
     """A directory and those above it, the root ('') last."""
@@ -207,22 +192,3 @@ def size_excess(lines: Column, limit: Column) -> Column:
 
 def size_factor(lines: Column, limit: Column, role_factor: Column) -> Column:
     return F.round(size_excess(lines, limit) * role_factor, 6)
-
-
-def score_text(status: Column, value: Column) -> Column:
-    shown = F.regexp_replace(value.cast("decimal(5,2)").cast("string"), r"\.?0+$", "")
-    shown = F.when(shown == "", "0").otherwise(F.regexp_replace(value.cast("decimal(5,2)").cast("string"), r"\.0+$|(?<=\.\d)0$", ""))
-    return (
-        F.when(status == "complete", F.concat(shown, F.lit("/100")))
-        .when(status == "partial", F.concat(shown, F.lit("/100 · provisional (partial coverage)")))
-        .otherwise("unavailable (no assessable analysis)")
-    )
-
-
-def entry_rewrite(target: Column, out_dir: Column, root_dir: Column) -> Column:
-    """A compiled public target as its source: out_dir becomes root_dir, a declaration file its module."""
-    moved = F.when(
-        out_dir.isNotNull() & target.startswith(F.concat(out_dir, F.lit("/"))),
-        F.concat_ws("/", F.when(root_dir != "", root_dir), F.expr("null").cast("string"), F.substr(target, F.length(out_dir) + 2)),
-    ).otherwise(target)
-    return F.regexp_replace(moved, r"\.d\.([cm]?ts)$", ".$1")

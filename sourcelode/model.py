@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+# Rules, categories, views and how much a confidence counts.
 RULES = ("runtime-cycle", "potentially-unused-file", "potentially-unused-package", "oversized-file", "oversized-function", "duplicate-block")
 CATEGORIES = ("cycles", "unusedFiles", "packages", "size", "duplication")
 VIEWS = {
@@ -31,6 +32,7 @@ LIMITS = {
     "timeoutMs": (60_000, 300_000), "maxDuplicationTokens": (200_000, 2_000_000),
     "maxDuplicationBlocks": (10_000, 100_000), "maxDuplicationComparisons": (5_000_000, 20_000_000),
 }
+# Weights of rules and caps of categories.
 WEIGHTS = {"runtime-cycle": 8, "potentially-unused-file": 2, "potentially-unused-package": 3, "oversized-file": 4, "oversized-function": 2, "duplicate-block": 5}
 CAPS = {"cycles": 30, "unusedFiles": 15, "packages": 15, "size": 20, "duplication": 20}
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..model import WEIGHTS
 
+# Roles, their weights, and the paths that show them.
 ROLES = ("application", "unknown", "tooling", "test", "migration")
 ROLE_FACTORS = {"migration": 0.0, "test": 0.25, "tooling": 0.5, "application": 1.0, "unknown": 1.0}
 TEST_PATH = r"(?:^|/)(?:test|tests|__tests__|e2e)/|\.(?:test|spec)\.[^/]+$|(?:^|/)scripts/(?:test|check)[-_][^/]+\.[^/]+$"

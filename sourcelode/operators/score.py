@@ -19,11 +19,15 @@ def _lookup(values: dict, key: Column, kind: str = "double") -> Column:
 
 
 def identity_key(category: Column, rule: Column, file: Column, subject: Column, related: Column) -> Column:
-    """A JSON array: size has one identity a file, a cycle its members, anything else file and subject."""
-    text = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"'))
-    members = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(related), text), ","), F.lit("]"))
+    """A JSON array: size has one identity a file, a cycle its members, anything else file and subject (null: null)."""
+
+    def text(c: Column) -> Column:
+        listed = F.to_json(F.array(c))
+        return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+    members = F.to_json(F.array_sort(related))
     inner = F.when(category == "size", text(file)).when(rule == "runtime-cycle", members).otherwise(F.concat_ws(",", text(file), text(subject)))
-    return F.concat(F.lit('["'), category, F.lit('",'), inner, F.lit("]"))
+    return F.concat(F.lit("["), text(category), F.lit(","), inner, F.lit("]"))
 
 
 def contributions(findings: DataFrame, weights: dict = WEIGHTS, keys: list[str] = ()) -> DataFrame:

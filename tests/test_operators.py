@@ -239,3 +239,12 @@ def test_streams(spark, tmp_path):
         got[name] = spark.table(name).collect()
     assert [(r["language"], r["files"], r["lines"]) for r in got["w"]] == [("Python", 10, 15)]
     assert [(r["n"], r["first_path"]) for r in got["d"]] == [(5, "f1.py")] and len(got["f"]) == 6
+
+
+def test_identities_are_json_text(spark):
+    import json
+
+    rows = [("cycles", "runtime-cycle", "f", None, ['b"', "a\\\n"]), ("size", "oversized-file", "f\t", "s", []), ("packages", "p", "f", None, []), ("packages", "p", "f", "\u0001\"", [])]
+    table = spark.createDataFrame(rows, "category STRING, rule STRING, file STRING, subject STRING, related ARRAY<STRING>")
+    keys = [json.loads(r["k"]) for r in table.select(score.identity_key(*[F.col(c) for c in table.columns]).alias("k")).collect()]
+    assert keys == [["cycles", ["a\\\n", 'b"']], ["size", "f\t"], ["packages", "f", None], ["packages", "f", '\u0001"']]

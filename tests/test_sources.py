@@ -362,3 +362,12 @@ def test_invalid_statements(text):
 def test_valid_statements(text):
     parsed = parse("a.ts", text)
     assert parsed.valid, parsed.diagnostics
+
+
+def test_trees_in_stores_that_spark_reads(spark, tmp_path):
+    """The table of files of a tree, without a walk on the driver: no NUL, valid UTF-8 only."""
+    for path, data in {"src/a.ts": b"export {};", "b.py": "ä = 1\n".encode(), "bad.ts": b"\xff\xfe", "nul.ts": b"a\0b"}.items():
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_bytes(data)
+    files = tree.read_tree_files(spark, str(tmp_path), str(tmp_path), "repo").collect()
+    assert sorted((r["repo_id"], r["path"], r["content"], r["bytes"]) for r in files) == [("repo", "b.py", "ä = 1\n", 7), ("repo", "src/a.ts", "export {};", 10)]
