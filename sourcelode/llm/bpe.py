@@ -93,7 +93,8 @@ def piece_table(model: str) -> tuple[pa.Array, pa.Array]:
 
 
 def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """Slices of about `limit` bytes of text, one row at least."""
+    """Slices of about `limit` bytes of text, one row at least. Behind the last one, memory that Arrow keeps for
+    later goes back, so that idle workers hold little."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
@@ -101,6 +102,7 @@ def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK) -> Iterator[p
         to = max(at + 1, int(np.searchsorted(sizes, done + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

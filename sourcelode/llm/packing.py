@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .bpe import VOCABULARY, blocks, local_ids, vocabulary_json, word_table
 from .common import table, written
 
-CAPACITY, END, LANES = 2048, 0, 1024
+CAPACITY, END, LANES, BLOCK = 2048, 0, 1024, 8 << 20
 PIECES = "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
 
 
@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
         words = word_table(model.value)
         end = np.array([END], np.uint32).tobytes()
         for batch in batches:
-            for part in blocks(batch, 1):
+            for part in blocks(batch, 1, BLOCK):
                 first, flat = local_ids(part.column(1), words)
                 data, rows = flat.astype("<u4").tobytes(), []
                 for doc_id, a, b in zip(part.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
