@@ -433,6 +433,21 @@ def unused_files(spark, d):
     return rules.unused_files(graph.file_usage(files, reached, True, False), 1).select("rule_id", "file", "confidence")
 
 
+@query("""WITH seed AS (SELECT c_custkey AS k FROM customer WHERE c_nationkey = 0),
+ s AS (SELECT DISTINCT l_suppkey AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN seed ON o_custkey = seed.k)
+ SELECT 'c' || k AS node FROM seed UNION SELECT 's' || k FROM s UNION SELECT 'p' || l_partkey FROM lineitem JOIN s ON l_suppkey = s.k""")
+def purchase_reach(spark, d):
+    """What the customers of one nation lead to: suppliers that sold to them, and all parts of those. The graph is
+    that of all orders, and grows with the tables."""
+    items = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("supplier"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("part"))
+    buyer = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), buyer.alias("buyer"))
+    bought = items.join(orders, "l_orderkey").select(F.col("buyer").alias("from_file"), F.col("supplier").alias("to_file"))
+    edges = bought.unionByName(items.select(F.col("supplier").alias("from_file"), F.col("part").alias("to_file")))
+    seeds = table(spark, d, "customer").filter("c_nationkey = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+    return graph.reachable(edges, seeds)
+
+
 @query(f"{PATHS} SELECT a, b FROM path")
 def transitive_closure(spark, d):
     return graph.closure(trade_edges(spark, d))
