@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sourcelode.llm import bpe, exact_dedup, language_id, license_scan, media_columns, packing, sharding, simhash, token_counts, toxicity
@@ -766,3 +767,70 @@ def test_toxicity_without_labels(docs, rows, no_labels, no_docs):
     out = toxicity.score(docs, no_labels).collect()
     assert len(out) == len(rows) and {r["score"] for r in out} == {0.0}
     assert toxicity.score(no_docs, no_labels).collect() == []
+
+
+def test_toxicity_learns_from_every_labelled_document(spark):
+    """Words that only the last of 6,000 toxic texts have, in the order of the ids' hash, are learned, and what the
+    other label's texts alone have is not held against them."""
+    ids = [r["id"] for r in spark.range(12_000).orderBy(F.xxhash64("id"), "id").collect() if zlib.crc32(str(r["id"]).encode()) % 5]
+    toxic, clean = ids[:6000], ids[6000:8000]
+    rows = [(i, f"{'vileword' if k < 5000 else 'lateword'} plain{k % 7}") for k, i in enumerate(toxic)] + [(i, f"good plain{i % 7}") for i in clean]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    labels = spark.createDataFrame([(i, 1, 1) for i in toxic] + [(i, 1, 0) for i in clean], "doc_id LONG, quality INT, toxic INT")
+    model, share = toxicity.fitted(docs, labels)
+    assert model.rows[zlib.crc32(b"lateword") % toxicity.BUCKETS] > toxicity.RARE and share == 0.75
+    got = toxicity.scores(pa.array(["lateword plain1", "vileword plain1", "good plain1"]), model, share)
+    assert got[0] >= 0.5 and got[1] >= 0.5 and got[2] < 0.5
+
+
+def test_toxicity_trainers_do_not_depend_on_the_layout(toxic_table, monkeypatch):
+    """Several trainers learn one model, the same one from any partitions and from repeated rows."""
+    docs, labels = toxic_table
+    monkeypatch.setattr(toxicity, "PER_TRAINER", 200)
+    one = toxicity.fitted(docs, labels)[0]
+    other = toxicity.fitted(docs.unionByName(docs.filter("doc_id % 3 = 0")).repartition(7, "text"), labels)[0]
+    assert np.array_equal(one.embedding, other.embedding) and np.array_equal(one.thresholds, other.thresholds)
+    table = [r for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    got = toxicity.scores(pa.array([r["text"] for r in table]), one, 0.0) >= 0.5
+    assert np.mean(got == [r["doc_id"] % 4 == 0 for r in table]) > 0.97
+
+
+def test_toxicity_thresholds_equal_the_plain_search(spark, toxic_table):
+    """Over all rows, by language where it has enough of either kind, else the common one."""
+    docs, labels = toxic_table
+    model = toxicity.fitted(docs, labels)[0]
+    rng = random.Random(9)
+    texts = [r["text"] + rng.choice([" the of and", " der die und", ""]) * (r["doc_id"] % 3) for r in docs.collect()] + ["le la et des"] * 12
+    y = np.array([int(rng.random() < (0.8 if "word," in t or "vile" in t else 0.1)) for t in texts])
+    first, flat, lang = toxicity.words_of(pa.array(texts))
+    rows = [(bytearray(toxicity.stored(flat[a:b])), int(k), int(t)) for a, b, k, t in zip(first[:-1], first[1:], lang, y, strict=True)]
+    got = toxicity.calibrated(spark.createDataFrame(rows, "buckets BINARY, lang INT, toxic INT").repartition(5), model)
+    logits, ones = model.logits(first, flat).astype(np.float64), np.ones(len(y))
+    overall = toxicity.best_threshold(logits, y, ones, 0.0)
+    for k in range(toxicity.LANGUAGES):
+        at = lang == k
+        enough = min(y[at].sum(), (1 - y[at]).sum()) >= toxicity.CALIBRATES
+        assert abs(got[k] - (toxicity.best_threshold(logits[at], y[at], ones[at], overall) if enough else overall)) < 1e-3
+    assert len(set(np.round(got, 6))) > 1
+
+
+def test_toxicity_trains_on_long_texts_in_parts(monkeypatch):
+    """The maxima that a step learns from are those of the whole texts."""
+    rng = np.random.default_rng(1)
+    texts = np.split(rng.permutation(50).astype(np.int32), [1, 31, 33])  # no word twice: no ties
+    model = toxicity.untrained(np.arange(50), rng).model
+    first = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    ids, starts, lengths = toxicity.spread(first, model.rows[np.concatenate(texts)])
+    whole = model.best(ids, starts, lengths)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 7)
+    parts = model.best(ids, starts, lengths)
+    assert np.array_equal(whole[0], parts[0]) and np.allclose(whole[1], parts[1], atol=1e-6)
+    y = np.concatenate(model.windows(ids), axis=1)
+    assert np.array_equal(whole[0], [s + y[s : s + n].argmax(axis=0) for s, n in zip(starts, lengths, strict=True)])
+
+
+def test_likely_rows_have_all_labelled(spark):
+    ids = spark.range(20_000).selectExpr("id - 9000 AS doc_id", "'x' AS text")
+    known = spark.createDataFrame([(i, 1) for i in range(-9000, 11_000, 20)], "_id LONG, _toxic INT")
+    got = {r["doc_id"] for r in toxicity.likely(ids, known, 1000).collect()}
+    assert got >= set(range(-9000, 11_000, 20)) and len(got) < 5000
